@@ -56,4 +56,4 @@ def ascii_lower(c: Column) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of df as Catalyst estimates it from the files, for choosing a number of partitions."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

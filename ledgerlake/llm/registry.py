@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, quality
+from . import chat, counts, decontam, lines, mixing, quality, tokens
 
-MODULES = (quality, lines, chat, mixing)
+MODULES = (tokens, lines, chat, quality, decontam, mixing, counts)
 
 
 def queries() -> dict:
