@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import scan
-from .common import table
+from .common import map_arrow, table
 
 _loaded: dict[str, Automaton] = {}
 
@@ -159,7 +159,7 @@ def token_counts(docs: DataFrame, vocabulary: str, lower: bool = True) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return map_arrow(docs.select("doc_id", "text"), count, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
 
 
 def op10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

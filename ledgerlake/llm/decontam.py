@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import table
+from .common import map_arrow, table
 
 WINDOW = 10
 #: Words of the test set in a block: 16 MB of numbers and hashes.
@@ -260,7 +260,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataF
                 arrays[k[3]] = pa.array(items, b.schema.field(k[3]).type)
                 yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
 
-        out = out.mapInArrow(search, schema)
+        out = map_arrow(out, search, schema)
     return out
 
 
@@ -295,7 +295,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, size: in
                         ["item_id", "item_word", "doc_id", "doc_word", "n_words"],
                     )
 
-        some = docs.select("doc_id", "text").mapInArrow(search, f"item_id {items}, item_word long, doc_id {ids}, doc_word long, n_words long")
+        some = map_arrow(docs.select("doc_id", "text"), search, f"item_id {items}, item_word long, doc_id {ids}, doc_word long, n_words long")
         found = some if found is None else found.unionByName(some)
     return found
 

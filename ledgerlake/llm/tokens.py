@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import input_bytes, shared_path, table
+from .common import input_bytes, map_arrow, shared_path, table
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8192, 1 << 16, 3
 BLOCK_BYTES = 1 << 20
@@ -161,7 +161,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text")).limit(2 * SAMPLE_DOCS)
-    samples = [bytes(r[0]) for r in some.mapInArrow(sample, "ids binary").collect()]
+    samples = [bytes(r[0]) for r in map_arrow(some, sample, "ids binary").collect()]
     if sum(map(len, samples)) < 8 * DICT_BYTES or len(samples) < 64:
         return b"".join(samples)[:DICT_BYTES]
     return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -214,7 +214,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> None
     names = ["part", "seq", "first_doc", "last_doc", "dict_sha256", "width", "doc_ids", "n_tokens", "offsets", "payload"]
     parts = max(1, input_bytes(docs) // (8 << 20))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    map_arrow(ordered, blocks, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     # tokens before each part (few rows), and before each block of it
     have = spark.read.schema(BLOCKS).parquet(f"{out}/blocks").select("part", "seq", "first_doc", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     sums = have.groupBy("part").agg(F.sum("n").alias("n"))
@@ -246,7 +246,7 @@ def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None)
         for ids, starts, arrays in _frames(batches, data, wanted):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([a.tolist() for a in arrays], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return blocks.join(index, ["part", "seq"]).mapInArrow(read, "doc_id long, start long, ids array<int>")
+    return map_arrow(blocks.join(index, ["part", "seq"]), read, "doc_id long, start long, ids array<int>")
 
 
 def _frames(batches, data: bytes, wanted: set | None = None):
@@ -275,7 +275,7 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     index = spark.read.parquet(f"{out}/index").select("part", "seq", "start")
-    return spark.read.schema(BLOCKS).parquet(f"{out}/blocks").join(index, ["part", "seq"]).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(spark.read.schema(BLOCKS).parquet(f"{out}/blocks").join(index, ["part", "seq"]), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
