@@ -102,7 +102,6 @@ def common_keys(docs: DataFrame, text: str, min_docs: int, min_chars: int, batch
 def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """docs with _lines (all lines) and _kept (the places of the lines that stay, from 0)."""
     common = common_keys(docs, text, min_docs, min_chars, batches)
-    d = docs.withColumn("_lines", _lines(text)).withColumn("_of", F.xxhash64(F.col(text)))
     places = docs.select(
         F.col(doc_id).alias("_id"),
         F.xxhash64(F.col(text)).alias("_at"),
@@ -112,8 +111,10 @@ def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     dropped = places.join(common, "key").groupBy("_id", "_at").agg(F.collect_set("_i").alias("_out"))
     on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_at"))
     whole = F.sequence(F.lit(0), F.size("_lines") - 1)
+    # a hash table of the few places: the texts are shuffled once, but not sorted
+    d = docs.withColumn("_of", F.xxhash64(F.col(text))).join(dropped.hint("shuffle_hash"), on, "left")
     return (
-        d.join(dropped, on, "left")
+        d.withColumn("_lines", _lines(text))
         .withColumn("_kept", F.when(F.col("_out").isNull(), whole).otherwise(F.array_except(whole, F.col("_out"))))
         .drop("_id", "_at", "_of", "_out")
     )
