@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token files.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on every row that the one before it kept. All but
+the last return the columns of documents. `run` writes each stage's rows in the shared folder and reads them
+again, so a lost executor costs a stage's work at most.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerlake.llm import decontam, mixing, neardup, quality, tokens
+from ledgerlake.llm.common import table, written
+
+#: No stage can be left out of SQL: near-duplicates and token ids can't be expressed in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the standard policy go."""
+    return quality.apply_policy(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.kept(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, as often as the mixture reads it."""
+    return mixing.repeated(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files, as read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_files(docs.select("doc_id", "text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

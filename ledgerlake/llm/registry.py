@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, counts, decontam, lines, mixing, quality, tokens
+from . import chat, counts, decontam, lines, mixing, neardup, quality, tokens
 
-MODULES = (tokens, lines, chat, quality, decontam, mixing, counts)
+MODULES = (tokens, lines, chat, neardup, quality, decontam, mixing, counts)
 
 
 def queries() -> dict:
