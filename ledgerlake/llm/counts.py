@@ -74,10 +74,11 @@ class Automaton:
                     v = nxt
                 ends[v] = True
         n = len(child)
-        fail, popped = [-1] * n, [0] * n
+        fail: list[int] = [-1] * n
+        popped: list[tuple[int, ...]] = [()] * n  # the nodes of the tokens
         for v, u, c in sorted(order, key=lambda x: depth[x[0]]):
             if ends[v]:
-                fail[v], popped[v] = 1, 1
+                fail[v], popped[v] = 1, (v,)
                 continue
             z, k = fail[u], popped[u]
             while z >= 0 and c not in child[z]:
@@ -88,15 +89,36 @@ class Automaton:
         edges = sorted((v * 256 + c, x) for v in range(n) for c, x in child[v].items())
         self.keys = np.array([k for k, _ in edges] or [-1], np.int64)
         self.to = np.array([x for _, x in edges] or [0], np.int64)
-        self.fail, self.popped = np.array(fail), np.array(popped)
+        self.fail, self.popped = np.array(fail), np.array([len(x) for x in popped])
+        self.pops = np.array([x for p in popped for x in p] or [0])
+        self.first_pop = np.cumsum(self.popped) - self.popped
+        self.child = child
+
+    def node(self, piece: bytes, root: int = 1) -> int:
+        for c in piece:
+            root = self.child[root][c]
+        return root
 
     def _step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = node * 256 + byte
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.to[at], self.keys[at] == key
 
-    def lengths(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens of each word, -1 where no pieces cover it."""
+    def segments(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The trie nodes of the pieces of all words, one word after another, and how many each word has (0 where no pieces cover it)."""
+        falls: list[tuple[np.ndarray, np.ndarray]] = []
+        count = self.lengths(buf, start, end, falls)
+        if not falls:
+            return np.zeros(0, np.int64), np.maximum(count, 0)
+        who, node = (np.concatenate(x) for x in zip(*falls))
+        order = np.argsort(who, kind="stable")
+        order = order[count[who[order]] >= 0]
+        node = node[order]
+        n = self.popped[node]
+        return self.pops[np.repeat(self.first_pop[node] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.maximum(count, 0)
+
+    def lengths(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, falls: list | None = None) -> np.ndarray:
+        """Tokens of each word, -1 where no pieces cover it. falls: gets the words and nodes of each step along failure links."""
         size = end - start
         order = np.argsort(-size, kind="stable")
         left = np.sort(size)[::-1]
@@ -109,6 +131,8 @@ class Automaton:
             dead[who[f < 0]] = True
             who, f = who[f >= 0], f[f >= 0]
             count[who] += self.popped[node[who]]
+            if falls is not None:
+                falls.append((who, node[who]))
             node[who] = f
             return who
 
