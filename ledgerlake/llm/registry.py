@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, counts, decontam, lines, lm, mixing, neardup, quality, tokens
+from . import chat, counts, decontam, lines, lm, mixing, neardup, quality, suffixdedup, tokens
 
-MODULES = (tokens, lines, chat, neardup, quality, lm, decontam, mixing, counts)
+MODULES = (suffixdedup, tokens, lines, chat, neardup, quality, lm, decontam, mixing, counts)
 
 
 def queries() -> dict:
