@@ -1,4 +1,390 @@
 """Every query over the catalog relations, and the SQL that it must agree with."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import log, metadata, namespaces, pool
+from . import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Paths in DuckDB, for the queries that need them.
+_WALK = """,
+walk(ns_id, path) AS (SELECT ns_id, [name] FROM namespaces WHERE parent_id = 0
+  UNION ALL SELECT c.ns_id, list_append(w.path, c.name) FROM walk w JOIN namespaces c ON c.parent_id = w.ns_id)"""
+
+
+def query(sql: str | None = None):
+    """Registers build(rel) under its name; rel gives a relation by its name. sql follows the relations' common table expressions."""
+
+    def deco(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: fixtures.relation(spark, sf_dir, name))
+
+        run.__name__ = build.__name__
+        QUERIES[build.__name__] = run
+        if sql:
+            s = sql.strip()
+            ORACLES[build.__name__] = fixtures.duckdb_ctes() + (_WALK if "walk" in s else "") + (",\n" if s.startswith("+") else "\n") + s.removeprefix("+")
+        return build
+
+    return deco
+
+
+# Namespaces and tables
+
+
+@query("SELECT ns_id, array_to_string(path, '.') AS path, len(path)::INTEGER AS depth FROM walk")
+def ns_paths(rel):
+    return namespaces.paths(rel("namespaces")).select("ns_id", namespaces.dotted().alias("path"), "depth")
+
+
+@query("SELECT ns_id, array_to_string(path[1:i], '.') AS ancestor FROM (SELECT ns_id, path, unnest(range(1, len(path) + 1)) AS i FROM walk)")
+def ns_ancestors(rel):
+    return namespaces.ancestors(namespaces.paths(rel("namespaces"))).select("ns_id", namespaces.dotted("ancestor").alias("ancestor"))
+
+
+@query("SELECT ns_id, row_number() OVER (ORDER BY len(path), array_to_string(path, '.')) AS ord FROM walk")
+def ns_depth_order(rel):
+    return namespaces.creation_order(namespaces.paths(rel("namespaces"))).select("ns_id", "ord")
+
+
+@query("SELECT ns_id, path[-1] AS name, array_to_string(path[1:len(path) - 1], '.') AS parent FROM walk")
+def ns_name_parent(rel):
+    return namespaces.name_and_parent(namespaces.paths(rel("namespaces"))).select("ns_id", "name", namespaces.dotted("parent").alias("parent"))
+
+
+@query("SELECT ns_id, name FROM namespaces WHERE parent_id = 1")
+def ns_children(rel):
+    return namespaces.children(rel("namespaces"), 1).select("ns_id", "name")
+
+
+@query("SELECT tbl_id, array_to_string(path, '.') || '.' || t.name AS fqn FROM tables t JOIN walk w ON t.ns_id = w.ns_id")
+def tbl_fqn(rel):
+    return namespaces.qualified(rel("tables"), namespaces.paths(rel("namespaces"))).select("tbl_id", "fqn")
+
+
+@query("SELECT tbl_id, array_to_string(path, '.') || '.' || t.name AS fqn FROM tables t JOIN walk w ON t.ns_id = w.ns_id WHERE w.ns_id = 100")
+def tbl_list_ns(rel):
+    ns, t = rel("namespaces"), rel("tables")
+    p = namespaces.paths(ns)
+    mine = p.filter("ns_id = 100")
+    return namespaces.qualified(t, mine).filter("ns IS NOT NULL OR ns_id = 0").select("tbl_id", "fqn").orderBy("fqn")
+
+
+@query("SELECT tbl_id, 's3://wh/' || array_to_string(path, '/') || '/' || t.name AS default_location FROM tables t JOIN walk w ON t.ns_id = w.ns_id")
+def tbl_default_location(rel):
+    return namespaces.default_locations(rel("tables"), namespaces.paths(rel("namespaces")), "s3://wh")
+
+
+@query("SELECT mode, count(*) AS n FROM (SELECT CASE WHEN location IS NULL THEN 'inline' ELSE 'pointer' END AS mode FROM tables) GROUP BY mode")
+def tbl_mode(rel):
+    return namespaces.modes(rel("tables")).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT ns_id, name FROM namespaces n WHERE NOT EXISTS (SELECT 1 FROM namespaces c WHERE c.parent_id = n.ns_id)
+  AND NOT EXISTS (SELECT 1 FROM tables t WHERE t.ns_id = n.ns_id AND t.tbl_id % 3 = 0 AND t.tbl_id < 100)""")
+def ns_droppable(rel):
+    return namespaces.droppable(rel("namespaces"), rel("tables").filter("tbl_id % 3 = 0 AND tbl_id < 100")).select("ns_id", "name")
+
+
+_LAST = """+last AS (SELECT owner, key, arg_max(CASE WHEN value = 'error' THEN '' ELSE value END, pos) AS value FROM properties GROUP BY owner, key)"""
+
+
+def _removing(props):
+    """The fixture's errors are removals."""
+    return props.withColumn("value", F.when(F.col("value") != "error", F.col("value")))
+
+
+@query(_LAST + "SELECT owner, string_agg(key || '=' || value, ',' ORDER BY key) AS properties FROM last WHERE value <> '' GROUP BY owner")
+def ns_props_map(rel):
+    m = namespaces.property_maps(_removing(rel("properties")))
+    return m.select("owner", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties"))
+
+
+@query(_LAST + "SELECT owner, key, value FROM last l WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM properties p WHERE p.owner = l.owner AND p.key = l.key AND p.pos % 11 = 0)")
+def prop_remove(rel):
+    p = rel("properties")
+    return namespaces.without_keys(namespaces.current_properties(_removing(p)), p.filter("pos % 11 = 0").select("owner", "key").distinct())
+
+
+@query("""+w AS (SELECT DISTINCT cast(s_suppkey % 40 + 95 AS INTEGER) AS ns_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name || 'n' END AS name FROM supplier)
+SELECT ns_id, name, CASE WHEN NOT EXISTS (SELECT 1 FROM namespaces n WHERE n.ns_id = w.ns_id) THEN 'no_namespace'
+  WHEN EXISTS (SELECT 1 FROM tables t WHERE t.ns_id = w.ns_id AND t.name = w.name) THEN 'exists' ELSE 'ok' END AS outcome FROM w""")
+def create_conflicts(rel):
+    w = rel("tables").filter("location IS NULL").select("tbl_id", "name").withColumn("k", F.col("tbl_id") - 10_000_000)
+    w = w.select((F.col("k") % 40 + 95).cast("int").alias("ns_id"), F.when(F.col("k") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("n"))).alias("name")).distinct()
+    return namespaces.create_checks(w, rel("tables"), rel("namespaces")).select("ns_id", "name", "outcome")
+
+
+@query("SELECT id, (SELECT max(tbl_id) FROM tables) + row_number() OVER (ORDER BY id) AS new_id FROM new_meta")
+def id_alloc(rel):
+    return namespaces.allocated(rel("new_meta").select("id"), rel("tables").select(F.col("tbl_id").alias("id")), "id").select("id", "new_id")
+
+
+_REFS = "+r AS (SELECT name FROM tables WHERE tbl_id % 2 = 0), e AS (SELECT name, tbl_id AS id, version FROM tables WHERE tbl_id % 3 <> 0), n AS (SELECT name, row_number() OVER (ORDER BY tbl_id) + 20000000 AS id FROM tables WHERE tbl_id % 6 = 0)"
+
+
+@query(_REFS + " SELECT r.name, coalesce(e.id, n.id) AS id, coalesce(version, -1) AS version FROM r LEFT JOIN e ON r.name = e.name LEFT JOIN n ON r.name = n.name")
+def late_bind(rel):
+    t = rel("tables")
+    new = namespaces.allocated(t.filter("tbl_id % 6 = 0").select("name", "tbl_id"), t.select(F.lit(20_000_000).alias("id")), "tbl_id")
+    return namespaces.late_bound(t.filter("tbl_id % 2 = 0").select("name"), t.filter("tbl_id % 3 <> 0").select("name", F.col("tbl_id").alias("id"), "version"), new)
+
+
+@query("SELECT n.ns_id, (any_value(n.version) + count(t.tbl_id))::BIGINT AS version FROM namespaces n LEFT JOIN tables t ON n.ns_id = t.ns_id GROUP BY n.ns_id")
+def ns_version_bump(rel):
+    return namespaces.bumped(rel("namespaces"), rel("tables").select("ns_id"))
+
+
+# The log
+
+
+@query("SELECT entity, k, min(pos) AS pos FROM txn_log GROUP BY entity, k")
+def txn_dedup(rel):
+    return log.first_of_each(rel("txn_log"), "entity", "k").select("entity", "k", "pos")
+
+
+@query("SELECT pos, entity FROM txn_log WHERE pos <= coalesce((SELECT min(pos) FROM txn_log WHERE sealed), (SELECT max(pos) FROM txn_log))")
+def txn_seal_cut(rel):
+    return log.until_seal(rel("txn_log")).select("pos", "entity")
+
+
+@query("SELECT count(*) AS appends FROM txn_log WHERE pos <= coalesce((SELECT min(pos) FROM txn_log WHERE sealed), (SELECT max(pos) FROM txn_log))")
+def append_count(rel):
+    return log.append_count(rel("txn_log"))
+
+
+@query("SELECT pos, bool_and(captured % 5 <> 0) OVER (PARTITION BY pos // 4) AS txn_ok FROM txn_log")
+def txn_atomic(rel):
+    actions = rel("txn_log").withColumn("txn", F.expr("pos div 4"))
+    return log.atomic(actions, "txn", F.col("captured") % 5 != 0).select("pos", "txn_ok")
+
+
+_FOLD = """+s AS (SELECT entity, pos, captured, row_number() OVER (PARTITION BY entity ORDER BY pos) AS rn FROM txn_log),
+f(entity, rn, pos, v, ok, n) AS (
+  SELECT entity, 0::BIGINT, NULL::BIGINT, 1::BIGINT, false, 0::BIGINT FROM (SELECT DISTINCT entity FROM s)
+  UNION ALL SELECT s.entity, s.rn, s.pos, CASE WHEN captured = v THEN v + 1 ELSE v END, captured = v, CASE WHEN captured = v THEN n + 1 ELSE n END
+  FROM f JOIN s ON s.entity = f.entity AND s.rn = f.rn + 1)
+"""
+
+
+@query(_FOLD + "SELECT entity, arg_max(v, rn) AS version, arg_max(n, rn) AS accepted FROM f GROUP BY entity")
+def replay_versions(rel):
+    return log.final_versions(rel("txn_log"))
+
+
+@query(_FOLD + "SELECT entity, pos, ok AS accepted FROM f WHERE rn > 0")
+def replay_outcomes(rel):
+    return log.outcomes(rel("txn_log"))
+
+
+@query("SELECT id AS tbl_id, id % 2 AS version FROM new_meta m WHERE EXISTS (SELECT 1 FROM tables t WHERE t.tbl_id = m.id AND t.version = m.id % 2)")
+def read_validation(rel):
+    reads = rel("new_meta").select(F.col("id").alias("tbl_id"), (F.col("id") % 2).alias("version"))
+    return log.validated_reads(reads, rel("tables")).select("tbl_id", "version")
+
+
+@query("""+k(kind, w, n) AS (VALUES ('create_namespace', ['ns'], ['ns']), ('drop_namespace', ['ns'], ['ns']), ('set_property', ['ns'], ['ns']),
+  ('remove_property', ['ns'], ['ns']), ('create_table', ['ns'], ['ns']), ('create_table_inline', ['ns'], ['ns']), ('drop_table', ['ns', 'tbl'], ['tbl']),
+  ('update_table', ['tbl'], ['tbl']), ('update_table_inline', ['tbl'], ['tbl']), ('read_table', []::VARCHAR[], ['tbl']))
+SELECT a.kind AS first, b.kind AS second, list_has_any(a.w, b.n) AS conflicts FROM k a, k b""")
+def conflict_matrix(rel):
+    return log.conflict_matrix(rel("namespaces").sparkSession)
+
+
+@query("SELECT entity, pos, CASE WHEN (row_number() OVER (PARTITION BY entity ORDER BY pos) - 1) % 3 = 0 THEN 'cas' ELSE 'append' END AS mode FROM txn_log")
+def append_vs_cas(rel):
+    return log.commit_modes(rel("txn_log"), 3)
+
+
+# Metadata
+
+
+@query("SELECT tbl_id, snapshot_id, row_number() OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id) AS sequence_number FROM snapshots")
+def snap_sequence(rel):
+    return metadata.sequences(rel("snapshots")).select("tbl_id", "snapshot_id", "sequence_number")
+
+
+@query("SELECT tbl_id, snapshot_id, coalesce(lag(snapshot_id) OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id), -1) AS parent FROM snapshots")
+def snap_parent(rel):
+    return metadata.parents(rel("snapshots").withColumn("parent_id", F.lit(None).cast("long"))).select("tbl_id", "snapshot_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+@query("SELECT tbl_id, snapshot_id, ts_ms FROM snapshots")
+def snap_timestamps(rel):
+    d = metadata.sequences(metadata.deltas_of_time(rel("snapshots"))).withColumnRenamed("sequence_number", "ord")
+    return metadata.times_of_deltas(d.select("tbl_id", "snapshot_id", "ord", "delta_ms")).select("tbl_id", "snapshot_id", "ts_ms")
+
+
+@query("SELECT tbl_id, last(snapshot_id ORDER BY ts_ms, snapshot_id) AS snapshot_id FROM snapshots GROUP BY tbl_id")
+def snap_current(rel):
+    return metadata.current(rel("snapshots"))
+
+
+@query("SELECT tbl_id, snapshot_id, CASE WHEN operation = 'append' THEN 'inline://' || snapshot_id ELSE 's3://wh/snap-' || operation || '.avro' END AS manifest_list FROM snapshots")
+def snap_sentinel(rel):
+    suffix = F.when(F.col("operation") == "append", "").otherwise(F.concat(F.lit("snap-"), "operation", F.lit(".avro")))
+    return metadata.manifest_lists(rel("snapshots"), F.lit("s3://wh/"), suffix).select("tbl_id", "snapshot_id", "manifest_list")
+
+
+@query("SELECT id, value FROM new_meta WHERE id NOT IN (SELECT id FROM old_meta)")
+def diff_added(rel):
+    return metadata.added(rel("old_meta"), rel("new_meta"), "id")
+
+
+@query("SELECT id, value FROM old_meta WHERE id NOT IN (SELECT id FROM new_meta)")
+def diff_removed(rel):
+    return metadata.removed(rel("old_meta"), rel("new_meta"), "id")
+
+
+@query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'remove' ELSE 'set' END AS change, n.value FROM old_meta o
+  FULL JOIN new_meta n ON o.id = n.id WHERE n.id IS NULL OR o.id IS NULL OR o.value IS DISTINCT FROM n.value""")
+def diff_properties(rel):
+    return metadata.diff(rel("old_meta"), rel("new_meta"), "id", "value")
+
+
+@query("SELECT n.id, n.value FROM new_meta n LEFT JOIN old_meta o ON o.id = n.id WHERE o.id IS NULL OR o.value IS DISTINCT FROM n.value")
+def diff_refs(rel):
+    return metadata.changed(rel("old_meta"), rel("new_meta"), "id", "value")
+
+
+@query("SELECT count(*) > 0 AS changed FROM ((SELECT * FROM old_meta EXCEPT SELECT * FROM new_meta) UNION ALL (SELECT * FROM new_meta EXCEPT SELECT * FROM old_meta))")
+def diff_stats_changed(rel):
+    return metadata.differs(rel("old_meta"), rel("new_meta"))
+
+
+@query("SELECT id, value FROM new_meta")
+def patch_properties(rel):
+    old = rel("old_meta")
+    return metadata.patched(old, metadata.diff(old, rel("new_meta"), "id", "value"), "id", "value")
+
+
+@query("SELECT id, CASE WHEN length(value) <= 9 THEN 'delta' WHEN length(value) + id % 7 <= 9 THEN 'full' ELSE 'pointer' END AS mode FROM new_meta")
+def mode_select(rel):
+    n = F.length("value").cast("long")
+    return rel("new_meta").select("id", metadata.select_mode(n, n + F.col("id") % 7, 9).alias("mode"))
+
+
+_UPD = "+u AS (SELECT entity AS tbl_id, k AS snapshot_id, pos, CASE WHEN event_type = 'click' THEN 'add_snapshot' ELSE 'add_manifest' END AS kind FROM txn_log)"
+
+
+@query(_UPD + " SELECT tbl_id, snapshot_id, pos FROM (SELECT *, min(pos) FILTER (WHERE kind = 'add_snapshot') OVER (PARTITION BY tbl_id, snapshot_id) AS m FROM u) WHERE kind <> 'add_snapshot' AND (m IS NULL OR pos < m)")
+def delta_order_check(rel):
+    u = rel("txn_log").select(F.col("entity").alias("tbl_id"), F.col("k").alias("snapshot_id"), "pos", F.when(F.col("event_type") == "click", "add_snapshot").otherwise("add_manifest").alias("kind"))
+    return metadata.order_violations(u).select("tbl_id", "snapshot_id", "pos")
+
+
+@query("SELECT v AS x, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS coded, v AS back FROM (SELECT (pos % 2 * 2 - 1) * pos * pos AS v FROM txn_log)")
+def zigzag_roundtrip(rel):
+    x = rel("txn_log").select(((F.col("pos") % 2 * 2 - 1) * F.col("pos") * F.col("pos")).alias("x"))
+    return x.withColumn("coded", metadata.zigzag(F.col("x"))).withColumn("back", metadata.unzigzag(F.col("coded")))
+
+
+@query("""SELECT owner, coalesce(string_agg(key || '=' || v, ',' ORDER BY key) FILTER (WHERE std AND v <> '0'), '') AS standard,
+  coalesce(string_agg(key || '=' || v, ',' ORDER BY key) FILTER (WHERE NOT std), '') AS extra
+  FROM (SELECT owner, CASE WHEN key = 'k1' THEN 'added-records' WHEN key = 'k2' THEN 'total-records' ELSE key END AS key, max(pos % 3)::VARCHAR AS v, key IN ('k1', 'k2') AS std
+        FROM properties GROUP BY owner, key) GROUP BY owner""")
+def summary_split(rel):
+    named = F.when(F.col("key") == "k1", "added-records").when(F.col("key") == "k2", "total-records").otherwise(F.col("key"))
+    p = rel("properties").groupBy("owner", named.alias("key")).agg(F.max(F.col("pos") % 3).cast("string").alias("v"))
+    m = p.groupBy("owner").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "v")))).alias("summary"))
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return metadata.split_summary(m, "summary").select("owner", flat("standard").alias("standard"), flat("extra").alias("extra"))
+
+
+@query("SELECT tbl_id, CASE WHEN starts_with(location, 's3://wh/Customer#0000001') THEN substr(location, length('s3://wh/Customer#0000001') + 1) ELSE location END AS suffix FROM tables WHERE location IS NOT NULL")
+def prefix_strip(rel):
+    return rel("tables").filter("location IS NOT NULL").select("tbl_id", metadata.stripped(F.col("location"), F.lit("s3://wh/Customer#0000001")).alias("suffix"))
+
+
+# The pool
+
+
+_POOL = "+p AS (SELECT tbl_id, path, min(snapshot_id) AS first_seen, arg_max(content, snapshot_id) AS content, arg_max(added_rows, snapshot_id) AS added_rows FROM manifests GROUP BY tbl_id, path)"
+
+
+def _pool(rel):
+    return pool.pool(rel("manifests").select("tbl_id", "snapshot_id", "path", "content", "added_rows"), "snapshot_id")
+
+
+@query(_POOL + " SELECT * FROM p")
+def pool_dedup(rel):
+    return _pool(rel)
+
+
+@query(_POOL + " SELECT tbl_id, path, row_number() OVER (PARTITION BY tbl_id ORDER BY first_seen, path) - 1 AS pool_idx FROM p")
+def pool_index(rel):
+    return pool.indexed(_pool(rel)).select("tbl_id", "path", "pool_idx")
+
+
+@query(_POOL + ", i AS (SELECT tbl_id, path, row_number() OVER (PARTITION BY tbl_id ORDER BY first_seen, path) - 1 AS pool_idx FROM p) SELECT m.tbl_id, snapshot_id, pool_idx FROM manifests m JOIN i ON m.tbl_id = i.tbl_id AND m.path = i.path")
+def refs_positional(rel):
+    p = pool.indexed(_pool(rel))
+    return pool.positional(rel("manifests").select("tbl_id", "snapshot_id", "path"), p).select("tbl_id", "snapshot_id", "pool_idx")
+
+
+@query("""+h AS (SELECT DISTINCT m.tbl_id, m.snapshot_id, m.path, s.ts_ms FROM manifests m JOIN snapshots s ON m.tbl_id = s.tbl_id AND m.snapshot_id = s.snapshot_id),
+d AS (SELECT DISTINCT tbl_id, snapshot_id, ts_ms FROM h)
+SELECT tbl_id, snapshot_id, (SELECT count(DISTINCT h.path) FROM h WHERE h.tbl_id = d.tbl_id AND (h.ts_ms, h.snapshot_id) <= (d.ts_ms, d.snapshot_id)) AS n_refs FROM d""")
+def refs_carry_forward(rel):
+    return pool.carried_forward(rel("manifests"), rel("snapshots"))
+
+
+@query("SELECT tbl_id, snapshot_id, coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE path <> 'm3.avro'), '') AS paths FROM manifests GROUP BY tbl_id, snapshot_id")
+def refs_remove(rel):
+    return pool.without_path(pool.as_lists(rel("manifests")), "m3.avro").select("tbl_id", "snapshot_id", F.array_join("paths", ",").alias("paths"))
+
+
+@query(_POOL + " SELECT m.tbl_id, m.snapshot_id, m.path, p.added_rows FROM manifests m JOIN p ON m.tbl_id = p.tbl_id AND m.path = p.path WHERE p.content = 1")
+def refs_resolve(rel):
+    refs = rel("manifests").select("tbl_id", "snapshot_id", "path")
+    return pool.resolved(refs, _pool(rel).filter("content = 1")).select("tbl_id", "snapshot_id", "path", "added_rows")
+
+
+@query("""SELECT DISTINCT tbl_id, path FROM manifests m WHERE snapshot_id % 3 = 0
+  AND NOT EXISTS (SELECT 1 FROM manifests k WHERE k.tbl_id = m.tbl_id AND k.path = m.path AND k.snapshot_id % 3 <> 0)""")
+def pool_gc(rel):
+    return pool.garbage(rel("manifests").select("tbl_id", "snapshot_id", "path"), rel("snapshots").filter("snapshot_id % 3 = 0").select("tbl_id", "snapshot_id"))
+
+
+@query(_POOL + """ SELECT tbl_id, path FROM p WHERE EXISTS (SELECT 1 FROM manifests k WHERE k.tbl_id = p.tbl_id AND k.path = p.path AND k.snapshot_id % 3 <> 0)""")
+def pool_after_gc(rel):
+    refs = rel("manifests").select("tbl_id", "snapshot_id", "path")
+    return pool.collected(_pool(rel), refs, rel("snapshots").filter("snapshot_id % 3 = 0").select("tbl_id", "snapshot_id")).select("tbl_id", "path")
+
+
+@query("""+m AS (SELECT tbl_id, snapshot_id, path FROM manifests), b AS (SELECT s.tbl_id, s.snapshot_id, m.path FROM snapshots s JOIN m ON m.tbl_id = s.tbl_id AND m.snapshot_id = s.parent_id),
+o AS (SELECT s.tbl_id, s.snapshot_id, m.path FROM snapshots s JOIN m ON m.tbl_id = s.tbl_id AND m.snapshot_id = s.snapshot_id)
+SELECT *, 'added' AS change FROM (SELECT * FROM o EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM o)""")
+def manifest_diff(rel):
+    return pool.manifest_diff(rel("manifests"), rel("snapshots"))
+
+
+@query("SELECT tbl_id, snapshot_id FROM snapshots s WHERE NOT EXISTS (SELECT 1 FROM manifests m WHERE m.tbl_id = s.tbl_id AND m.snapshot_id = s.snapshot_id)")
+def integrity_sentinel(rel):
+    return pool.broken_sentinels(rel("snapshots"), rel("manifests")).select("tbl_id", "snapshot_id")
+
+
+@query("SELECT tbl_id FROM snapshots GROUP BY tbl_id HAVING bool_or(operation = 'append') AND bool_or(operation <> 'append')")
+def mixed_mode(rel):
+    return pool.mixed_modes(rel("snapshots").select("tbl_id", (F.col("operation") == "append").alias("is_inline")))
+
+
+@query("""+h AS (SELECT DISTINCT tbl_id, snapshot_id FROM manifests), s AS (SELECT *, first_value(snapshot_id) OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id) AS fallback_id FROM snapshots)
+SELECT s.tbl_id, s.snapshot_id, coalesce(p.snapshot_id, f.snapshot_id, -1) AS base_id FROM s LEFT JOIN h p ON p.tbl_id = s.tbl_id AND p.snapshot_id = s.parent_id
+  LEFT JOIN h f ON f.tbl_id = s.tbl_id AND f.snapshot_id = s.fallback_id""")
+def parent_manifests(rel):
+    from pyspark.sql import Window
+
+    of = rel("snapshots").withColumn("fallback_id", F.first("snapshot_id").over(Window.partitionBy("tbl_id").orderBy("ts_ms", "snapshot_id")))
+    return pool.parent_manifests(of, rel("manifests")).withColumn("base_id", F.coalesce("base_id", F.lit(-1)))
+
+
+@query("SELECT tbl_id, min(lower_ms) AS lower_ms, max(upper_ms) AS upper_ms, count(*) AS n_manifests FROM manifests GROUP BY tbl_id")
+def partition_bounds(rel):
+    return pool.bounds(rel("manifests"))
