@@ -8,7 +8,8 @@
    with a similarity of 0.75 share no list with a chance of 0.25^12 = 6e-8.
 3. Lists are cut into blocks of at most about BLOCK documents, and every pair of blocks is looked at by itself, so a list
    of any length is spread over tasks. A pair is looked at in one list only, that of the least value that both
-   have. The sketch of the union estimates the similarity; pairs within five standard errors of 0.75 go on.
+   have. The sketch of the union estimates the similarity; pairs within five standard errors of 0.75 go on. Of pairs of sets
+   that the sketches hold whole, only a spanning forest goes on.
 4. The whole sets decide. Each document is first held against its likeliest partner; components are formed, and then all
    other pairs that would join two components are decided, so no link between components is left out, and pairs
    inside a component cost nothing.
@@ -34,10 +35,10 @@ from .common import input_bytes, map_arrow, release, table, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-SKETCH, KEYS, LISTS, BLOCK = 128, 24, 12, 512
+SKETCH, KEYS, LISTS, BLOCK = 256, 24, 12, 512
 #: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: What a list's blocks are multiplied with to give both the blocks of a pair one number.
+#: Fills sketches of fewer values.
 _NONE = np.iinfo(np.int32).max
 
 
@@ -112,8 +113,27 @@ def _pairs_of(lo: int, cut: int, hi: int, same: bool) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(lo, cut), hi - cut), np.tile(np.arange(cut, hi), cut - lo)
 
 
-def _evaluated(doc, n, value, keys, sketch, i, j) -> pa.RecordBatch:
-    """The pairs (i, j) of rows that go on."""
+class Forest:
+    """Sets of documents that pairs have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether the pair joins two sets; they are one from now on."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _evaluated(doc, n, value, keys, sketch, forest: Forest, i, j) -> pa.RecordBatch:
+    """The pairs (i, j) of rows that go on. Where both sketches are whole sets the estimate is no estimate: of such pairs only
+    those go on that join what others in this list have not, so a group of n documents gives n - 1 of them."""
     k = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
     i, j = i[k], j[k]
     x = np.sort(np.concatenate([keys[i], keys[j]], axis=1), axis=1)
@@ -121,6 +141,8 @@ def _evaluated(doc, n, value, keys, sketch, i, j) -> pa.RecordBatch:
     i, j = i[~earlier], j[~earlier]
     est, least = _estimate(sketch[i], sketch[j], n[i], n[j])
     ok = est >= least
+    whole = np.flatnonzero(ok & (n[i] <= SKETCH) & (n[j] <= SKETCH))
+    ok[whole] = [forest.joins(a, b) for a, b in zip(doc[i[whole]].tolist(), doc[j[whole]].tolist())]
     i, j = i[ok], j[ok]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(est[ok])], ["a", "b", "est"])
 
@@ -144,7 +166,7 @@ def _candidates(batches):
             sketch[r, : len(got)] = got
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         begin = np.append(np.flatnonzero(new), len(doc))
-        some, m = [], 0
+        some, m, forest = [], 0, Forest()
         for lo, hi in zip(begin[:-1], begin[1:]):
             if hi - lo < 2:
                 continue
@@ -155,10 +177,10 @@ def _candidates(batches):
                 some.append((i[x : x + (1 << 14)], j[x : x + (1 << 14)]))
                 m += len(some[-1][0])
                 if m >= 1 << 13:
-                    yield _evaluated(doc, n, value, keys, sketch, *map(np.concatenate, zip(*some)))
+                    yield _evaluated(doc, n, value, keys, sketch, forest, *map(np.concatenate, zip(*some)))
                     some, m = [], 0
         if some:
-            yield _evaluated(doc, n, value, keys, sketch, *map(np.concatenate, zip(*some)))
+            yield _evaluated(doc, n, value, keys, sketch, forest, *map(np.concatenate, zip(*some)))
 
     for b in batches:
         t = pa.Table.from_batches([b])
