@@ -42,8 +42,19 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage is cut there, and a lost executor costs nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    out.partitionBy(*partition_by).parquet(path) if partition_by else out.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

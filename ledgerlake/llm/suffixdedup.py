@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jvm
-from .common import release, table, written
+from .common import dropped, release, table, written
 
 WINDOW = 50
 #: Strings in a shard on average, and at most under one key.
@@ -29,6 +29,11 @@ MEAN_STRINGS, SHARD_STRINGS = 8192, 32_768
 _FIRST = -(1 << 63)
 
 
+def _print(s: str):
+    """128 bits that stand for a string, in joins that need not move it."""
+    return F.unhex(F.md5(s)).alias("p")
+
+
 def least_docs(strings: DataFrame, shard_strings: int = SHARD_STRINGS) -> DataFrame:
     """strings(key, s, doc), each s once, as s, doc, mins: for each window of s the least doc of any string that holds it; null if it is doc for all."""
     sizes = strings.groupBy("key").agg(F.count("*").alias("n"))
@@ -60,17 +65,21 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     of_doc = flat.join(shared, "key").groupBy("doc").agg(F.collect_set(F.struct("key", "at")).alias("runs"))
     unpacked = F.transform("runs", lambda r: F.struct(r["key"].alias("key"), F.shiftright(r["at"], 7).cast("int").alias("first"), r["at"].bitwiseAND(127).cast("int").alias("n")))
     of_doc = written(of_doc.select("doc", unpacked.alias("runs")), "suffix-runs")
+    dropped(shared)
     release(spark)
     cut = texts.join(of_doc.hint("shuffle_hash"), "doc").select("doc", F.explode(F.call_udf("ll_strings", "b", "runs")).alias("r"))
-    places = written(cut.select("doc", "r.key", "r.first", "r.s"), "suffix-strings")
+    places = written(cut.select("doc", "r.key", "r.first", "r.s", _print("r.s"), F.length("r.s").alias("size")), "suffix-strings")
+    dropped(of_doc)
     release(spark)
     folded = written(places.groupBy("key", "s").agg(F.min("doc").alias("doc")), "suffix-folded")
-    least = written(least_docs(folded, shard_strings).select("s", F.col("doc").alias("low"), "mins"), "suffix-least")
     release(spark)
-    n = F.length("s") - WINDOW + 1
-    whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.length("s")).alias("stop")))
+    least = written(least_docs(folded, shard_strings).select(_print("s"), F.col("doc").alias("low"), "mins"), "suffix-least")
+    dropped(folded)
+    release(spark)
+    n = F.col("size") - WINDOW + 1
+    whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop")))
     some = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("mins", k + 1) < F.col("doc")), lambda k: F.struct((F.col("first") + k).alias("begin"), (F.col("first") + k + WINDOW).alias("stop")))
-    hit = places.join(least, "s").filter("low < doc OR mins IS NOT NULL")
+    hit = places.select("doc", "first", "size", "p").join(least, "p").filter("low < doc OR mins IS NOT NULL")
     spans = hit.select("doc", F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy("doc").agg(F.collect_list("span").alias("_spans"))
     on = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)) == F.col("_doc")
     back = docs.join(spans.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), on, "left")
