@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codec import SUMMARY_KEYS
+
 #: Bytes that may be stored inline.
 INLINE_LIMIT = 4_190_208
 SENTINEL = "inline://"
@@ -90,13 +92,6 @@ def order_violations(updates: DataFrame) -> DataFrame:
     return u.filter((F.col("kind") != "add_snapshot") & (F.col("_first").isNull() | (F.col("pos") < F.col("_first")))).drop("_first")
 
 
-#: Summary keys that have a field of their own.
-SUMMARY_KEYS = (
-    "added-data-files", "deleted-data-files", "added-records", "deleted-records", "added-files-size",
-    "removed-files-size", "total-records", "total-files-size", "total-data-files", "total-delete-files",
-)
-
-
 def split_summary(df: DataFrame, summary: str) -> DataFrame:
     """standard (without zeroes) and extra."""
     known = F.array(*[F.lit(k) for k in SUMMARY_KEYS])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..operators import log, metadata, namespaces, pool
 from . import fixtures
 
@@ -23,6 +24,7 @@ def query(sql: str | None = None):
 
     def deco(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return build(lambda name: fixtures.relation(spark, sf_dir, name))
 
         run.__name__ = build.__name__
@@ -388,3 +390,81 @@ def parent_manifests(rel):
 @query("SELECT tbl_id, min(lower_ms) AS lower_ms, max(upper_ms) AS upper_ms, count(*) AS n_manifests FROM manifests GROUP BY tbl_id")
 def partition_bounds(rel):
     return pool.bounds(rel("manifests"))
+
+
+# Files: encoding, decoding and whole replays
+
+
+def _as_text(df):
+    """A catalog for each namespace of the fixture: encoded as a file, read again and replayed."""
+    import pandas as pd
+
+    from ..functions import codec, state
+
+    def encode(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                s = state.State(namespaces={r.ns_id: {"parent_id": r.parent_id, "name": r.name, "version": r.version}})
+                rows.append((str(r.ns_id), codec.file_bytes(state.to_checkpoint(s))))
+            yield pd.DataFrame(rows, columns=["catalog", "content"])
+
+    return df.mapInPandas(encode, "catalog string, content binary")
+
+
+@query("SELECT ns_id, parent_id, name, version FROM namespaces")
+def codec_roundtrip(rel):
+    from ..operators import replay
+
+    return replay.replayed(_as_text(rel("namespaces")), "namespaces").select("ns_id", "parent_id", "name", "version")
+
+
+@query(_FOLD + "SELECT entity, arg_max(v, rn)::INTEGER AS version FROM f GROUP BY entity")
+def replay_files(rel):
+    """Each entity's log as encoded transactions of a catalog of its own, folded by the general replay."""
+    import uuid
+
+    import pandas as pd
+
+    from ..functions import codec
+    from ..operators import replay
+
+    def encode(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                one = {"kind": "update_table", "id": 1, "version": r.captured, "metadata_location": f"v{r.captured + 1}"}
+                txn = {"txn_id": str(uuid.UUID(int=r.pos)), "sealed": False, "actions": [one]}
+                rows.append((str(r.entity), r.pos, codec.encode("Transaction", txn)))
+            yield pd.DataFrame(rows, columns=["catalog", "pos", "record"])
+
+    def begin(batches):
+        made = {"txn_id": str(uuid.UUID(int=1 << 100)), "sealed": False, "actions": [{"kind": "create_table", "id": 1, "version": 1, "namespace_id": 0, "namespace_version": -1, "name": "t", "metadata_location": "v1"}]}
+        for b in batches:
+            yield pd.DataFrame([(str(e), -1, codec.encode("Transaction", made)) for e in b["entity"]], columns=["catalog", "pos", "record"])
+
+    t, kind = rel("txn_log"), "catalog string, pos long, record binary"
+    log_ = t.select("entity", "pos", "captured").mapInPandas(encode, kind).unionByName(t.select("entity").distinct().mapInPandas(begin, kind))
+    return replay.replay_transactions(log_).select(F.col("catalog").cast("long").alias("entity"), "version")
+
+
+@query("SELECT ns_id, parent_id, name, 1 + (SELECT count(*) FROM namespaces c WHERE c.parent_id = n.ns_id)::INTEGER AS version FROM namespaces n")
+def commit_reload(rel):
+    """The fixture's namespaces committed one by one, with a log of at most 7 records, and read back from the file."""
+    import tempfile
+
+    from ..catalog import Catalog, Options
+    from ..functions import state
+    from ..operators.replay import RELATIONS, rows_of
+
+    ns = rel("namespaces")
+    path = f"{tempfile.mkdtemp(prefix='ledgerlake-')}/catalog"
+    c = Catalog(path, Options(max_append_count=7))
+    named = namespaces.paths(ns).join(ns.select("ns_id", "parent_id"), "ns_id").orderBy("depth", "ns_id").limit(1000).collect()
+    for r in named:
+        ch = c.changes()
+        ch._ns = r["ns_id"]
+        c.commit(ch.create_namespace(r["path"]))
+    with open(path, "rb") as f:
+        again = state.load(f.read())
+    return ns.sparkSession.createDataFrame(list(rows_of(path, again, "namespaces")), RELATIONS["namespaces"]).select("ns_id", "parent_id", "name", "version")

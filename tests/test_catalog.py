@@ -1,0 +1,255 @@
+"""Verify and apply, replay, and commits with failures of both conditional writes."""
+
+import random
+import uuid
+
+import pytest
+
+from ledgerlake.catalog import AlreadyExists, Catalog, CommitFailed, NotEmpty, NotFound, Options
+from ledgerlake.functions import codec, state
+from ledgerlake.operators import log, replay
+from ledgerlake.sources.storage import LocalStore
+
+
+class Flaky(LocalStore):
+    def __init__(self, appends=0, replaces=0, between=None):
+        self.fail_appends, self.fail_replaces, self.between, self.calls = appends, replaces, between, []
+
+    def read(self, path):
+        self.calls.append("read")
+        return super().read(path)
+
+    def append(self, path, data, length):
+        self.calls.append("append")
+        if self.fail_appends:
+            self.fail_appends -= 1
+            if self.between:
+                self.between()
+            return False
+        return super().append(path, data, length)
+
+    def replace(self, path, data, token):
+        self.calls.append("replace")
+        if self.fail_replaces:
+            self.fail_replaces -= 1
+            if self.between:
+                self.between()
+            return False
+        return super().replace(path, data, token)
+
+
+@pytest.fixture
+def cat(tmp_path):
+    return Catalog(str(tmp_path / "c"), Options(inline=True, warehouse="w"))
+
+
+def test_life_of_a_catalog(cat):
+    cat.create_namespace(("a", "b"), {"k": "v"})
+    assert cat.list_namespaces() == [("a",), ("a", "b")] and cat.list_namespaces(("a",)) == [("a", "b")]
+    cat.set_properties(("a", "b"), {"x": "y"})
+    cat.remove_properties(("a", "b"), ["k", "no"])
+    assert cat.namespace_properties(("a", "b")) == {"x": "y"}
+    cat.create_table(("a", "b"), "t", {"location": "l"})
+    cat.create_table((), "r", location="s3://r")
+    assert cat.list_tables(("a",)) == [((), "r")] and cat.list_tables(("a", "b")) == [((), "r"), (("a", "b"), "t")]
+    with pytest.raises(NotEmpty):
+        cat.drop_namespace(("a", "b"))
+    cat.rename_table(("a", "b"), "t", ("a",), "u")
+    assert cat.load_table(("a",), "u") == {"version": 1, "metadata": {"location": "l"}}
+    assert cat.drop_namespace(("a", "b")) and not cat.drop_namespace(("a", "b"))
+    assert cat.drop_table(("a",), "u") and not cat.drop_table(("a",), "u")
+    with pytest.raises(NotFound):
+        cat.load_table(("a",), "u")
+    with pytest.raises(AlreadyExists):
+        cat.create_namespace(("a",))
+
+
+def test_ids_are_not_given_twice_after_appends(cat):
+    cat.create_namespace(("a",))
+    for k in range(4):
+        cat.create_table(("a",), f"t{k}", location=f"l{k}")
+    assert len(cat.state().tables) == 4
+
+
+@pytest.mark.parametrize("limit,replaces,appends", [(0, 6, 0), (3, 2, 4), (10_000, 1, 5)])
+def test_limit_of_appends(tmp_path, limit, replaces, appends):
+    store = Flaky()
+    c = Catalog(str(tmp_path / "c"), Options(max_append_count=limit), store)
+    for k in range(6):
+        c.create_namespace((f"n{k}",))
+    assert (store.calls.count("replace"), store.calls.count("append")) == (replaces, appends)
+    assert len(c.list_namespaces()) == 6
+
+
+def test_size_limit_seals(tmp_path):
+    c = Catalog(str(tmp_path / "c"), Options(max_append_size=200))
+    for k in range(5):
+        c.create_namespace((f"n{k}",))
+    assert len(c.list_namespaces()) == 5
+
+
+@pytest.mark.parametrize("fails", [1, 3, 5, 8])
+def test_lost_races_of_appends(tmp_path, fails):
+    c = Catalog(str(tmp_path / "c"))
+    c.create_namespace(("a",))
+    other = Catalog(c.path)
+    n = iter(range(100))
+    c.store = Flaky(appends=fails, between=lambda: other.create_namespace((f"o{next(n)}",)))
+    ch = c.changes().create_table((), "t", "l")
+    before = c.store.calls.count("read")
+    c.commit(ch)
+    assert c.store.calls.count("read") - before == 2  # once to begin, once to confirm
+    assert len(c.list_namespaces()) == fails + 1 and c.list_tables() == [((), "t")]
+
+
+@pytest.mark.parametrize("fails", [1, 2])
+def test_lost_races_of_replacements_keep_the_others_work(tmp_path, fails):
+    c = Catalog(str(tmp_path / "c"), Options(max_append_count=0))
+    c.create_namespace(("a",))
+    other = Catalog(c.path, c.options)
+    n = iter(range(100))
+    c.store = Flaky(replaces=fails, between=lambda: other.create_namespace((f"o{next(n)}",)))
+    c.commit(c.changes().create_table((), "t", "l"))
+    assert len(c.list_namespaces()) == fails + 1 and c.list_tables() == [((), "t")]
+
+
+def test_too_many_failures(tmp_path):
+    c = Catalog(str(tmp_path / "c"), store=Flaky(replaces=99))
+    with pytest.raises(CommitFailed):
+        c.create_namespace(("a",))
+
+
+def test_read_conflict(cat):
+    cat.create_table((), "a", location="l")
+    cat.create_table((), "b", location="l")
+    ch = cat.changes().read_table((), "a").update_table((), "b", location="m")
+    cat.commit(cat.changes().update_table((), "a", location="n"))
+    with pytest.raises(CommitFailed):
+        cat.commit(ch)
+    assert cat.load_table((), "b")["location"] == "l"
+
+
+def test_forms_of_an_update(cat):
+    cat.create_table((), "t", {"location": "l"})
+    c = cat.changes()
+    assert cat.update_metadata(c, (), "t", {"location": "m"}) == "delta"
+    cat.commit(c)
+    c = cat.changes()
+    assert cat.update_metadata(c, (), "t", {"location": "m", "statistics": [1]}) == "full"
+    cat.commit(c)
+    assert cat.load_table((), "t") == {"version": 3, "metadata": {"location": "m", "statistics": [1]}}
+    cat.commit(cat.changes().update_table((), "t", location="s3://far"))
+    assert cat.load_table((), "t") == {"version": 4, "location": "s3://far"}
+    assert cat.state().tables[1].metadata is None
+
+
+@pytest.mark.parametrize("bad", [{"inline.manifests": "true"}, {"max.append.count": "x"}, {"max.append.count": "-1"}, {"max.append.size": "0"}])
+def test_bad_options(bad):
+    with pytest.raises(ValueError):
+        Options.of(bad)
+
+
+# Every ordered pair of actions on one namespace and one table
+
+
+def _action(kind, s):
+    v, t = s.version("ns", 1), s.version("tbl", 1)
+    return {
+        "create_namespace": {"id": 7, "version": 1, "parent_id": 1, "parent_version": v, "name": "x"},
+        "drop_namespace": {"id": 1, "version": v},
+        "set_property": {"namespace_id": 1, "namespace_version": v, "key": "k", "value": "v"},
+        "remove_property": {"namespace_id": 1, "namespace_version": v, "key": "k"},
+        "create_table": {"id": 8, "version": 1, "namespace_id": 1, "namespace_version": v, "name": "y", "metadata_location": "l"},
+        "create_table_inline": {"id": 9, "version": 1, "namespace_id": 1, "namespace_version": v, "name": "z", "metadata": b"{}"},
+        "drop_table": {"id": 1, "version": t},
+        "update_table": {"id": 1, "version": t, "metadata_location": "m"},
+        "update_table_inline": {"id": 1, "version": t, "metadata": b"{}"},
+        "read_table": {"id": 1, "version": t},
+    }[kind] | {"kind": kind}
+
+
+def _base():
+    return state.State(namespaces={1: {"parent_id": 0, "name": "n", "version": 1}}, tables={1: state.Table(1, "t", 1, "l")})
+
+
+@pytest.mark.parametrize("first", [k for k, _, _ in log.KINDS])
+@pytest.mark.parametrize("second", [k for k, _, _ in log.KINDS])
+def test_conflicts(first, second):
+    s = _base()
+    a, b = _action(first, s), _action(second, s)
+    assert s.commit({"txn_id": str(uuid.uuid4()), "actions": [a]})
+    writes = {k: set(w) for k, w, _ in log.KINDS}
+    needs = {k: set(n) for k, _, n in log.KINDS}
+    assert s.holds(b) != bool(writes[first] & needs[second])
+
+
+def _random_log(rng, n):
+    s, out = _base(), []
+    for _ in range(n):
+        kind = rng.choice([k for k, _, _ in log.KINDS if not k.startswith("drop")])
+        a = _action(kind, s if rng.random() < 0.7 else _base())
+        t = {"txn_id": str(uuid.UUID(int=rng.getrandbits(6))), "sealed": rng.random() < 0.02, "actions": [a]}
+        out.append(codec.encode("Transaction", t))
+        if t["txn_id"] not in s.committed:
+            s.commit(t)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_checkpoint_in_the_middle_changes_nothing(seed):
+    records = _random_log(random.Random(seed), 60)
+    whole = _base().replay(records)
+    for cut in (0, 10, 30):
+        part = _base().replay(records[:cut])
+        again = state.from_checkpoint(state.to_checkpoint(part))
+        if not part.sealed:
+            again.replay(records[cut:])
+            assert (again.namespaces, again.tables, again.properties, again.committed) == (whole.namespaces, whole.tables, whole.properties, whole.committed)
+
+
+def test_rejected_transactions_are_tried_again_and_a_seal_ends_the_log():
+    up = lambda i, v, sealed=False: {"txn_id": str(uuid.UUID(int=i)), "sealed": sealed, "actions": [{"kind": "update_table", "id": 1, "version": v, "metadata_location": f"v{v}"}]}
+    s = _base().replay([up(1, 2), up(2, 1), up(1, 2), up(2, 1), up(3, 99, True), up(4, 3)])
+    assert s.tables[1].version == 3 and s.sealed and s.appends == 5
+
+
+def test_spark_replays_as_one_process_does(spark):
+    rows, want = [], set()
+    for seed in range(8):
+        records = _random_log(random.Random(seed), 40)
+        s = _base()
+        rows.append((str(seed), bytearray(codec.file_bytes(state.to_checkpoint(_base()), *records))))
+        s.replay(records)
+        want |= {(str(seed), i, t.version, t.location) for i, t in s.tables.items()}
+    files = spark.createDataFrame(rows, "catalog string, content binary")
+    got = replay.replayed(files, "tables").select("catalog", "tbl_id", "version", "location").collect()
+    assert {tuple(r) for r in got} == want
+    assert replay.decoded_log(files).count() == 8 * 40
+
+
+def test_sources(spark, tmp_path, cat):
+    from ledgerlake.sources.datasource import CatalogSource
+
+    cat.create_namespace(("a",))
+    cat.create_table(("a",), "t", location="l")
+    spark.dataSource.register(CatalogSource)
+    by_source = spark.read.format("ledgerlake").option("relation", "tables").load(cat.path).select("name", "location").collect()
+    by_files = replay.replayed(replay.read_files(spark, cat.path), "tables").select("name", "location").collect()
+    assert by_source == by_files and [tuple(r) for r in by_files] == [("t", "l")]
+
+
+def test_stream(spark, tmp_path):
+    from ledgerlake.streaming.log_stream import replay_stream
+
+    up = lambda v: {"txn_id": str(uuid.UUID(int=v)), "sealed": False, "actions": [{"kind": "update_table", "id": 1, "version": v, "metadata_location": f"v{v + 1}"}]}
+    make = {"txn_id": str(uuid.UUID(int=1 << 90)), "sealed": False, "actions": [{"kind": "create_table", "id": 1, "version": 1, "namespace_id": 0, "namespace_version": -1, "name": "t", "metadata_location": "v1"}]}
+    src, kind = str(tmp_path / "in"), "catalog string, pos long, record binary"
+    rows = [("c", k, bytearray(codec.encode("Transaction", t))) for k, t in enumerate([make, up(1), up(1), up(2), up(9), up(3)])]
+    q = None
+    for lo in (0, 3):
+        spark.createDataFrame(rows[lo : lo + 3], kind).coalesce(1).write.mode("append").parquet(src)
+        if q is None:
+            q = replay_stream(spark.readStream.schema(kind).parquet(src)).writeStream.format("memory").queryName("replayed").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    assert sorted(r["version"] for r in spark.table("replayed").collect()) == [2, 4]
