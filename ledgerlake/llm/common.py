@@ -5,12 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: White space as the operators understand it: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,19 +72,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-_shipped: set[str] = set()
-
-
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """df.mapInArrow, with this package sent to the executors' Python once in each application."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        if root.is_dir():
-            name = f"{tempfile.mkdtemp(prefix='ledgerlake-')}/{root.name}.zip"  # stays: executors that come later fetch it
-            with zipfile.ZipFile(name, "w") as z:
-                for p in sorted(root.rglob("*.py")):
-                    z.write(p, p.relative_to(root.parent))
-            sc.addPyFile(name)
-        _shipped.add(sc.applicationId)
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
