@@ -237,7 +237,7 @@ def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None)
     if doc_ids is not None:
         hit = F.lit(False)
         for i in doc_ids:
-            hit = hit | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
+            hit = hit | ((F.col("first_doc").isNull() | (F.col("first_doc") <= i)) & (F.col("last_doc") >= i))
         blocks = blocks.filter(hit)
     index = spark.read.parquet(f"{out}/index").select("part", "seq", "start")
     wanted = None if doc_ids is None else set(doc_ids)
