@@ -97,5 +97,23 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i FROM w JOIN m ON w.s = m.s WHERE low < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS first FROM f),
+h AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS z FROM h GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y FROM r
+      UNION ALL SELECT doc_id, max(z) + 1, NULL FROM r GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(hex(CASE WHEN x <= coalesce(y, octet_length(b)) THEN array_slice(b, x, coalesce(y, octet_length(b))) ELSE ''::BLOB END), '' ORDER BY x) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, hex(b)))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 QUERIES = {"op1_suffix": op1_suffix}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_suffix": OP1_SQL}
