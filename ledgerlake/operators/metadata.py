@@ -111,3 +111,29 @@ def unzigzag(c: Column) -> Column:
 
 def stripped(path: Column, prefix: Column) -> Column:
     return F.when(F.startswith(path, prefix), F.substr(path, F.length(prefix) + 1)).otherwise(path)
+
+
+#: What is read of the metadata's JSON.
+JSON = (
+    "`format-version` int, location string, `last-sequence-number` long, `last-updated-ms` long, `current-snapshot-id` long, `current-schema-id` int, "
+    "properties map<string,string>, refs map<string, struct<`snapshot-id`: long, type: string>>, "
+    "snapshots array<struct<`snapshot-id`: long, `parent-snapshot-id`: long, `sequence-number`: long, `timestamp-ms`: long, `manifest-list`: string, `schema-id`: int, summary: map<string,string>>>"
+)
+
+
+def parsed(tables: DataFrame) -> DataFrame:
+    """tables with m: their inline metadata, typed; null for pointer tables."""
+    return tables.withColumn("m", F.from_json("metadata", JSON))
+
+
+def snapshots_of(tables: DataFrame) -> DataFrame:
+    """A row for each snapshot of each inline table."""
+    s = parsed(tables).select("tbl_id", F.explode("m.snapshots").alias("s"))
+    return s.select(
+        "tbl_id", F.col("s.snapshot-id").alias("snapshot_id"), F.col("s.parent-snapshot-id").alias("parent_id"), F.col("s.sequence-number").alias("sequence_number"),
+        F.col("s.timestamp-ms").alias("ts_ms"), F.col("s.manifest-list").alias("manifest_list"), F.col("s.summary").alias("summary"),
+    )
+
+
+def refs_of(tables: DataFrame) -> DataFrame:
+    return parsed(tables).select("tbl_id", F.explode("m.refs").alias("ref", "r")).select("tbl_id", "ref", F.col("r.snapshot-id").alias("snapshot_id"), F.col("r.type").alias("type"))

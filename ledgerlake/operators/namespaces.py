@@ -40,10 +40,21 @@ def name_and_parent(p: DataFrame) -> DataFrame:
     return p.select("ns_id", F.element_at("path", -1).alias("name"), F.slice("path", F.lit(1), F.size("path") - 1).alias("parent"))
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with `name`, from 1 in the given order. Numbers are dealt by prefix sums over ranges of the order, so the rows aren't sorted in one
+    task; only a count for each range is."""
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sums = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+
+
 def creation_order(p: DataFrame) -> DataFrame:
     """Parents before children; ties in order of path."""
-    w = Window.orderBy(F.size("path"), dotted())
-    return p.withColumn("ord", F.row_number().over(w).cast("long"))
+    return numbered(p, "ord", F.size("path"), dotted())
 
 
 def children(namespaces: DataFrame, parent_id: int) -> DataFrame:
@@ -87,18 +98,10 @@ def create_checks(wanted: DataFrame, tables: DataFrame, namespaces: DataFrame) -
 
 
 def allocated(wanted: DataFrame, existing: DataFrame, order: str, stored_next: int = 1) -> DataFrame:
-    """wanted with new_id: from the larger of the stored counter and the largest id in use plus one, in the given order. Numbers are dealt by
-    prefix sums over ranges of the order, so the rows aren't sorted in one task."""
-    spark = wanted.sparkSession
+    """wanted with new_id: from the larger of the stored counter and the largest id in use plus one, in the given order."""
     top = existing.agg(F.max("id")).first()[0]
     base = max(stored_next, (top or 0) + 1)
-    ranged = wanted.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), order).sortWithinPartitions(order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(order)
-    numbered = ranged.withColumn("_n", F.row_number().over(w))
-    sums = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = sums.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn("new_id", F.lit(base) + F.col("_before") + F.col("_n") - 1).drop("_part", "_n", "_before")
+    return numbered(wanted, "new_id", order).withColumn("new_id", F.col("new_id") + (base - 1))
 
 
 def late_bound(references: DataFrame, existing: DataFrame, new_ids: DataFrame) -> DataFrame:

@@ -253,3 +253,63 @@ def test_stream(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert sorted(r["version"] for r in spark.table("replayed").collect()) == [2, 4]
+
+
+def _meta(snapshots):
+    return {"location": "l", "last-updated-ms": 10 * len(snapshots), "last-sequence-number": len(snapshots), "snapshots": [
+        {"snapshot-id": i, "sequence-number": k + 1, "timestamp-ms": 10 * (k + 1), "manifest-list": f"inline://{i}", "summary": {"operation": "append"}} | ({"parent-snapshot-id": snapshots[k - 1]} if k else {})
+        for k, i in enumerate(snapshots)], "refs": {"main": {"snapshot-id": snapshots[-1], "type": "branch"}} if snapshots else {}}
+
+
+def test_inline_manifests_of_a_table(spark, tmp_path):
+    from ledgerlake.operators import metadata
+
+    c = Catalog(str(tmp_path / "c"), Options(inline=True, inline_manifests=True, max_append_count=3))
+    t = c.table((), "t")
+    assert t.commit(_meta([])) == "full"
+    for k in range(4):
+        t.refresh()
+        t.stage(k + 1, [{"path": f"m{k}", "length": k}], [f"m{k - 1}"] if k == 3 else [])
+        assert t.commit(_meta(list(range(1, k + 2)))) == "delta"
+    got = c.load_table((), "t")["metadata"]
+    assert [[m["path"] for m in s["manifests"]] for s in got["snapshots"]] == [["m0"], ["m0", "m1"], ["m0", "m1", "m2"], ["m0", "m1", "m3"]]
+    assert got["current-snapshot-id"] == 4
+    t.refresh()
+    c.table((), "t").commit(_meta([1, 2, 3, 4]) | {"location": "n"})
+    with pytest.raises(CommitFailed):
+        t.commit(_meta([1, 2, 3, 4]) | {"location": "o"})
+    tables = replay.replayed(replay.read_files(spark, c.path), "tables")
+    assert metadata.snapshots_of(tables).filter("parent_id = 3").select("snapshot_id", "manifest_list").collect() == [(4, "inline://4")]
+    assert [tuple(r) for r in metadata.refs_of(tables).select("ref", "snapshot_id").collect()] == [("main", 4)]
+    pool = replay.replayed(replay.read_files(spark, c.path), "manifest_pool")
+    assert sorted(r["path"] for r in pool.collect()) == ["m0", "m1", "m2", "m3"]
+
+
+def test_expired_snapshots_leave_the_pool(tmp_path):
+    c = Catalog(str(tmp_path / "c"), Options(inline=True, inline_manifests=True))
+    t = c.table((), "t")
+    t.commit(_meta([]))
+    t.stage(1, [{"path": "a"}])
+    t.commit(_meta([1]))
+    t.stage(2, [{"path": "b"}], ["a"])
+    t.commit(_meta([1, 2]))
+    m = _meta([1, 2])
+    m["snapshots"] = m["snapshots"][1:]
+    t.commit(m)
+    assert list(c.state().tables[1].pool) == ["b"]
+
+
+def test_transaction_over_tables(cat):
+    for n in "abc":
+        cat.create_table((), n, {"location": n})
+    with cat.transaction() as t:
+        assert t.read((), "a")["metadata"] == {"location": "a"}
+        t.update((), "b", {"location": "x"})
+        t.update((), "c", {"location": "y"})
+    assert [cat.load_table((), n)["metadata"]["location"] for n in "abc"] == ["a", "x", "y"]
+    with pytest.raises(CommitFailed):
+        with cat.transaction() as t:
+            t.read((), "a")
+            t.update((), "b", {"location": "z"})
+            cat.table((), "a").commit({"location": "q"})
+    assert cat.load_table((), "b")["metadata"]["location"] == "x"
