@@ -72,6 +72,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     dropped(of_doc)
     release(spark)
     folded = written(places.groupBy("key", "s").agg(F.min("doc").alias("doc")), "suffix-folded")
+    light = written(places.select("doc", "first", "size", "p"), "suffix-places")
+    dropped(places)
     release(spark)
     least = written(least_docs(folded, shard_strings).select(_print("s"), F.col("doc").alias("low"), "mins"), "suffix-least")
     dropped(folded)
@@ -79,10 +81,13 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     n = F.col("size") - WINDOW + 1
     whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop")))
     some = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("mins", k + 1) < F.col("doc")), lambda k: F.struct((F.col("first") + k).alias("begin"), (F.col("first") + k + WINDOW).alias("stop")))
-    hit = places.select("doc", "first", "size", "p").join(least, "p").filter("low < doc OR mins IS NOT NULL")
-    spans = hit.select("doc", F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy("doc").agg(F.collect_list("span").alias("_spans"))
+    hit = light.join(least, "p").filter("low < doc OR mins IS NOT NULL")
+    spans = hit.select("doc", F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("span").alias("_spans"))
+    spans = written(spans, "suffix-spans")
+    dropped(light, least)
+    release(spark)
     on = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)) == F.col("_doc")
-    back = docs.join(spans.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), on, "left")
+    back = docs.join(spans.hint("shuffle_hash"), on, "left")
     return back.withColumn("_cut", F.call_udf("ll_without", F.col(text).cast("binary"), F.col("_spans"))).drop("_doc", "_spans")
 
 
