@@ -17,9 +17,9 @@ def first_of_each(log: DataFrame, *key: str, order: str = "pos") -> DataFrame:
 
 
 def until_seal(log: DataFrame) -> DataFrame:
-    """Records up to and including the first sealed one."""
-    seal = log.filter("sealed").agg(F.min("pos").alias("_end"))
-    return log.crossJoin(F.broadcast(seal)).filter(F.col("_end").isNull() | (F.col("pos") <= F.col("_end"))).drop("_end")
+    """Records up to and including the first sealed one. The place of the seal is one number, so it becomes a filter."""
+    sql = "SELECT * FROM {log} WHERE pos <= coalesce((SELECT min(pos) FROM {log} WHERE sealed), 9223372036854775807)"
+    return log.sparkSession.sql(sql, log=log)
 
 
 def append_count(log: DataFrame) -> DataFrame:
