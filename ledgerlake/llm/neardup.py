@@ -16,7 +16,8 @@
 5. Components of all links, by star steps (components.py).
 
 Defined results: null or empty texts, and texts without words, have the empty set, are linked with nothing and are kept; with
-fewer than five words the whole sequence is one shingle; rows with one doc_id are one node; a row whose doc_id is null
+fewer than five words the whole sequence is one shingle; rows with one doc_id are one node (should their texts differ, equal sets of
+each are folded, but the links of only one are looked for); a row whose doc_id is null
 can't be named by a link: its component is null, and it is kept; extra columns stay where rows are kept;
 an empty table gives an empty table.
 """
