@@ -29,22 +29,37 @@ def fresh(buckets: int, prior: np.ndarray) -> Params:
     }
 
 
+def _times(t: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """t @ w as one product of matrices, not one for each window."""
+    return (t.reshape(-1, t.shape[-1]) @ w).reshape(*t.shape[:-1], w.shape[1])
+
+
+def _tops(t: np.ndarray) -> np.ndarray:
+    """The largest of each last axis, whose length is a power of two; by halves, which is faster than max over short rows."""
+    while t.shape[-1] > 1:
+        n = t.shape[-1] // 2
+        t = np.maximum(t[..., :n], t[..., n:])
+    return t
+
+
 def _forward(p: Params, x: np.ndarray, f: np.ndarray):
     """x: buckets, windows by 2 * STRIDE; f: the state of each target, which the text before it fixes."""
     e = p["embed"][x]
-    half = e[:, STRIDE:]
-    q, k, v = half @ p["q"], e @ p["k"], e @ p["v"]
+    half = np.ascontiguousarray(e[:, STRIDE:])
+    q, k, v = _times(half, p["q"]), _times(e, p["k"]), _times(e, p["v"])
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(WIDTH**-0.5)
     s += np.where(_later, np.float32(-1e9), p["near"][_back])
-    s -= s.max(2, keepdims=True)
+    s -= _tops(s)
     a = np.exp(s, out=s)
     a /= a.sum(2, keepdims=True)
     mixed = a @ v
-    h = half + mixed @ p["o"]
-    g = np.maximum(h @ p["w"] + p["wb"], 0)
-    z = h @ p["u"] + g @ p["m"] + p["b"][f]
-    z -= z.max(2, keepdims=True)
+    h = half + _times(mixed, p["o"])
+    g = np.maximum(_times(h, p["w"]) + p["wb"], 0)
+    z = _times(h, p["u"])
+    z += _times(g, p["m"])
+    z += p["b"][f]
+    z -= _tops(z)
     return z, (e, half, q, k, v, a, mixed, h, g)
 
 
@@ -58,17 +73,17 @@ def log_probs(p: Params, x: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndar
 def gradients(p: Params, x: np.ndarray, f: np.ndarray, y: np.ndarray, w: np.ndarray) -> Params:
     """Of the mean loss over targets, weighted by w."""
     z, (e, half, q, k, v, a, mixed, h, g) = _forward(p, x, f)
-    prob = np.exp(z)
-    prob /= prob.sum(2, keepdims=True)
-    np.put_along_axis(prob, y[:, :, None], np.take_along_axis(prob, y[:, :, None], 2) - 1, 2)
-    dz = prob * (w / max(w.sum(), 1))[:, :, None].astype(np.float32)
+    dz = np.exp(z, out=z)
+    dz /= dz.sum(2, keepdims=True)
+    dz.reshape(-1, dz.shape[-1])[np.arange(y.size), y.ravel()] -= 1
+    dz *= (w / max(w.sum(), 1))[:, :, None].astype(np.float32)
     flat = lambda t: t.reshape(-1, t.shape[-1])
     d: Params = {"b": np.stack([dz[f == s].sum(0) for s in range(len(p["b"]))]), "u": flat(h).T @ flat(dz), "m": flat(g).T @ flat(dz)}
-    dg = (dz @ p["m"].T) * (g > 0)
+    dg = _times(dz, p["m"].T) * (g > 0)
     d |= {"w": flat(h).T @ flat(dg), "wb": flat(dg).sum(0)}
-    dh = dz @ p["u"].T + dg @ p["w"].T
+    dh = _times(dz, p["u"].T) + _times(dg, p["w"].T)
     d["o"] = flat(mixed).T @ flat(dh)
-    dm = dh @ p["o"].T
+    dm = _times(dh, p["o"].T)
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
     ds = a * (da - (da * a).sum(2, keepdims=True))
@@ -76,8 +91,8 @@ def gradients(p: Params, x: np.ndarray, f: np.ndarray, y: np.ndarray, w: np.ndar
     ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     d |= {"q": flat(half).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, STRIDE:] += dh + dq @ p["q"].T
+    de = _times(dk, p["k"].T) + _times(dv, p["v"].T)
+    de[:, STRIDE:] += dh + _times(dq, p["q"].T)
     at, rows = x.ravel(), flat(de)
     d["embed"] = np.stack([np.bincount(at, rows[:, j], len(p["embed"])) for j in range(WIDTH)], 1).astype(np.float32)
     return d

@@ -9,9 +9,9 @@ subword counts. From these: the counts of all words and subwords in all training
 (for the start and the inside of words apart; the SINGLE most frequent subwords have one each, the others share the rest by mass,
 and a subword has its counted share of its class);
 and the model, which gives the probability of the next subword's class. It is trained in ROUNDS rounds. In each, every task walks over every
-SHARE-th window of all training documents, beginning with the same parameters, and the parameters are averaged by the
-number of targets. What training sees grows with the input, and every window of half-overlapping context scores each
-token once.
+ROUNDS-th window of all training documents, beginning with the same parameters, and the parameters are averaged by the
+number of targets. The rounds together walk over every window once, and every window of half-overlapping context scores
+each token once.
 
 Postings are cut to at most CHUNK places, so a word in all documents is many rows, which a skewed join splits.
 
@@ -36,7 +36,7 @@ from .counts import Automaton, _letter_bytes
 PIECES, LAST, END, CODES = 32_768, 32_768, 32_767, 65_536
 SINGLE, BUCKETS = 40, 1024
 CHUNK, GROUP_BYTES = 4096, 8 << 20
-ROUNDS, SHARE, BATCH, RATE = 2, 8, 64, 0.01
+ROUNDS, BATCH, RATE = 2, 64, 0.01
 PARTS = "doc_id long, held boolean, block long, idx int, n_words long, ids binary, hash long, cnt long, postings binary"
 _loaded: dict[str, tuple[Automaton, np.ndarray]] = {}
 
@@ -180,10 +180,11 @@ def trained(docs: DataFrame, classes: Classes) -> attention.Params:
             adam, seen = attention.Adam(p, RATE), 0
             for b in batches:
                 ids, at = _documents(b.column("ids"))
+                idx = b.column("idx").to_numpy()
                 for lo, hi in scan.groups(at, 1 << 18):
                     to = at[lo : hi + 1]
                     x, y, doc, number = attention.windows(to - to[0])
-                    k = np.flatnonzero((number + doc + turn * SHARE // ROUNDS) % SHARE == 0)
+                    k = np.flatnonzero((number + idx[lo:hi][doc] + turn) % ROUNDS == 0)
                     buckets, state, cls, _ = c.arrays(ids[to[0] : to[-1]])
                     for s in range(0, len(k), BATCH):
                         w = k[s : s + BATCH]
@@ -193,7 +194,7 @@ def trained(docs: DataFrame, classes: Classes) -> attention.Params:
                 flat = np.concatenate([adam.p[k].ravel() for k in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["k", "v", "n"])
 
-        rows = map_arrow(docs.filter("not held").select("ids"), train, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+        rows = map_arrow(docs.filter("not held").select("ids", "idx"), train, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
         if len(rows) != size:
             break
         flat = np.zeros(size)

@@ -193,6 +193,15 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_trains_on_every_window(spark):
+    """Document k has code k only; documents of one window and of several all move their codes."""
+    c = lm.Classes(np.ones(2 * lm.CODES, np.int64))
+    rows = [(False, k, bytearray(np.full(5 if k % 2 else 40, k, "<u2").tobytes())) for k in range(24)]
+    p = lm.trained(spark.createDataFrame(rows, "held boolean, idx int, ids binary").coalesce(1), c)
+    was = attention.fresh(c.buckets, c.prior)
+    assert [k for k in range(24) if (p["embed"][c.bucket[k]] == was["embed"][c.bucket[k]]).all()] == []
+
+
 def test_lm_gradients_and_causality():
     rng = np.random.default_rng(1)
     p = attention.fresh(40, np.full((2, attention.CLASSES), 1 / attention.CLASSES))
