@@ -11,8 +11,11 @@ equal keys wherever they are, and the windows of a document fall into runs with
    instead, which gives the same least doc_id.
 4. Removal: a window goes from a document if its least doc_id is smaller; overlapping windows join to spans.
 
+Places are kept for each document; where a doc_id, or null, has several texts, for each text (by its md5), as places in one text mean nothing in
+another.
+
 Defined results: null texts are empty; texts under 50 bytes lose nothing; rows with one doc_id count as one document, so
-they keep what they share with each other; a null doc_id comes before all others; extra columns stay; an empty table gives an empty table.
+they keep what they share with each other, whatever their texts; a null doc_id comes before all others; extra columns stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -56,23 +59,27 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     """docs with _cut: n_bytes, n_removed, n_spans, kept (binary) and spans."""
     spark = docs.sparkSession
     jvm.register(spark)
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("doc"), F.col(text).cast("binary").alias("b"))
-    runs = texts.select("doc", F.explode(F.call_udf("ll_anchors", "b")).alias("r"))
+    given, which = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+    several = docs.select(given.alias("doc"), which.alias("which")).groupBy("doc").agg(F.min("which").alias("lo"), F.max("which").alias("hi")).filter("lo < hi")
+    row = {"doc": given} | ({"which": which} if several.limit(1).count() else {})
+    own = list(row)
+    texts = docs.select(*[c.alias(k) for k, c in row.items()], F.col(text).cast("binary").alias("b"))
+    runs = texts.select(*own, F.explode(F.call_udf("ll_anchors", "b")).alias("r"))
     shared = runs.groupBy(F.col("r.key").alias("key")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
     shared = written(shared, "suffix-keys")
     release(spark)
-    flat = runs.select("doc", F.col("r.key").alias("key"), (F.col("r.first").cast("long") * 128 + F.col("r.n")).alias("at"))
-    of_doc = flat.join(shared, "key").groupBy("doc").agg(F.collect_set(F.struct("key", "at")).alias("runs"))
+    flat = runs.select(*own, F.col("r.key").alias("key"), (F.col("r.first").cast("long") * 128 + F.col("r.n")).alias("at"))
+    of_doc = flat.join(shared, "key").groupBy(*own).agg(F.collect_set(F.struct("key", "at")).alias("runs"))
     unpacked = F.transform("runs", lambda r: F.struct(r["key"].alias("key"), F.shiftright(r["at"], 7).cast("int").alias("first"), r["at"].bitwiseAND(127).cast("int").alias("n")))
-    of_doc = written(of_doc.select("doc", unpacked.alias("runs")), "suffix-runs")
+    of_doc = written(of_doc.select(*own, unpacked.alias("runs")), "suffix-runs")
     dropped(shared)
     release(spark)
-    cut = texts.join(of_doc.hint("shuffle_hash"), "doc").select("doc", F.explode(F.call_udf("ll_strings", "b", "runs")).alias("r"))
-    places = written(cut.select("doc", "r.key", "r.first", "r.s", _print("r.s"), F.length("r.s").alias("size")), "suffix-strings")
+    cut = texts.join(of_doc.hint("shuffle_hash"), own).select(*own, F.explode(F.call_udf("ll_strings", "b", "runs")).alias("r"))
+    places = written(cut.select(*own, "r.key", "r.first", "r.s", _print("r.s"), F.length("r.s").alias("size")), "suffix-strings")
     dropped(of_doc)
     release(spark)
     folded = written(places.groupBy("key", "s").agg(F.min("doc").alias("doc")), "suffix-folded")
-    light = written(places.select("doc", "first", "size", "p"), "suffix-places")
+    light = written(places.select(*own, "first", "size", "p"), "suffix-places")
     dropped(places)
     release(spark)
     least = written(least_docs(folded, shard_strings).select(_print("s"), F.col("doc").alias("low"), "mins"), "suffix-least")
@@ -82,13 +89,12 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop")))
     some = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("mins", k + 1) < F.col("doc")), lambda k: F.struct((F.col("first") + k).alias("begin"), (F.col("first") + k + WINDOW).alias("stop")))
     hit = light.join(least, "p").filter("low < doc OR mins IS NOT NULL")
-    spans = hit.select("doc", F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("span").alias("_spans"))
+    spans = hit.select(*own, F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy(*[F.col(k).alias(f"_{k}") for k in own]).agg(F.collect_list("span").alias("_spans"))
     spans = written(spans, "suffix-spans")
     dropped(light, least)
     release(spark)
-    on = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)) == F.col("_doc")
-    back = docs.join(spans.hint("shuffle_hash"), on, "left")
-    return back.withColumn("_cut", F.call_udf("ll_without", F.col(text).cast("binary"), F.col("_spans"))).drop("_doc", "_spans")
+    back = docs.join(spans.hint("shuffle_hash"), [c == F.col(f"_{k}") for k, c in row.items()], "left")
+    return back.withColumn("_cut", F.call_udf("ll_without", F.col(text).cast("binary"), F.col("_spans"))).drop(*[f"_{k}" for k in own], "_spans")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -87,6 +87,19 @@ def test_suffix_dedup(spark, docs, strings):
     same(d.withColumn("doc_id", F.coalesce("doc_id", F.lit(least))), d.columns, brute.substrings(rows))
 
 
+@pytest.mark.parametrize("strings", [1 << 15, 1])
+def test_suffix_dedup_of_several_texts_of_one_id(spark, strings):
+    """Null ids and repeated ids with texts of different lengths, and without text."""
+    least, rng = -(1 << 63), random.Random(8)
+    word = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(n))
+    a, b = word(40), word(40)
+    rows = [(None, word(9) + a), (None, word(90) + b + word(30)), (None, None), (None, "x"), (4, a + word(5)), (5, b), (5, word(70) + a), (5, None), (6, word(50) + b + a), (6, a), (6, a), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d = suffixdedup.removed(df, shard_strings=strings).select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("h"))
+    want = brute.substrings([(least if i is None else i, t) for i, t in rows])
+    same(d.withColumn("doc_id", F.coalesce("doc_id", F.lit(least))), d.columns, want)
+
+
 def test_suffix_arrays(spark):
     from ledgerlake.llm import jvm
 
