@@ -84,7 +84,7 @@ def _keys(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _as_bytes(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys).view(f"S{4 * DEPTH}").ravel()
+    return np.ascontiguousarray(keys).view(f"S{4 * keys.shape[1]}").ravel()
 
 
 def _common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -114,12 +114,16 @@ class Searcher:
             keys[test.room <= j, j] = 0
         self.keys = _as_bytes(keys)
         w = np.flatnonzero(test.window)
-        low, high = keys[w].copy(), keys[w].copy()
-        for j in range(DEPTH):
-            gone = test.window[w] <= j
-            low[gone, j], high[gone, j] = 0, 0xFFFFFFFF
-        low, one, which = np.unique(_as_bytes(low), return_index=True, return_inverse=True) if len(w) else (np.zeros(0, f"S{4 * DEPTH}"), w, w)
-        self.low, self.high, self.length = low, _as_bytes(high[one]) if len(w) else low, test.window[w][one]
+        depth = max(DEPTH, int(test.window.max(initial=0)))
+        whole = np.zeros((len(w), depth), ">u4")  # all words of each window, also those beyond DEPTH
+        for j in range(depth):
+            on = test.window[w] > j
+            whole[on, j] = test.text[s[w[on]] + j]
+        _, one, which = np.unique(_as_bytes(whole), return_index=True, return_inverse=True) if len(w) else (w, w, w)
+        low, high = whole[one, :DEPTH], whole[one, :DEPTH].copy()
+        self.length, self.begin = test.window[w][one], s[w][one]
+        high[np.arange(DEPTH)[None, :] >= self.length[:, None]] = 0xFFFFFFFF
+        self.low, self.high = _as_bytes(low), _as_bytes(high)
         order = np.argsort(which, kind="stable")  # the items of each distinct window
         self.items, self.first = test.of[w][order], np.searchsorted(which[order], np.arange(len(low) + 1))
 
@@ -138,13 +142,17 @@ class Searcher:
         order = np.argsort(keys, kind="stable")
         return here[order], keys[order]
 
-    def windows(self, sa: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, text: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each occurrence of a window: its place and the number of the window."""
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         n = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(n)), n)
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return sa[at], which
+        place, ok = sa[at], np.ones(len(at), bool)
+        more = np.flatnonzero(self.length[which] > DEPTH)
+        size = self.length[which[more]]
+        ok[more] = _common(self.test.text, self.begin[which[more]], text, place[more], size) == size
+        return place[ok], which[ok]
 
     def longest(self, text: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each test suffix the length of its longest match in the shard, and where one is."""
@@ -194,7 +202,7 @@ def hits_in(col: pa.Array, test: TestBlock, spans: list | None = None) -> tuple[
     n_words, runs, items = [], [], []
     for lo, text, begin, n in _shards(col, test):
         sa, keys = s.suffix_array(text)
-        place, which = s.windows(sa, keys)
+        place, which = s.windows(text, sa, keys)
         step = np.zeros(len(text) + 1, np.int64)
         np.add.at(step, place, 1)
         np.add.at(step, place + s.length[which], -1)

@@ -258,6 +258,18 @@ def test_decontamination_in_blocks(docs, items, monkeypatch):
     test_decontamination(docs, items)
 
 
+@pytest.mark.parametrize("size", [1, 10, 16, 17, 25])
+def test_decontamination_by_windows_of_any_size(size):
+    """Texts and items that share 16 words and more before they differ."""
+    w = [f"w{k}" for k in range(60)]
+    items = [(0, " ".join(w[:40])), (1, " ".join([*w[:18], "other", *w[19:40]])), (2, " ".join(w[:20])), (3, "")]
+    rows = [(k, " ".join([*w[a:b], "end", *w[c:d]])) for k, (a, b, c, d) in enumerate([(0, 16, 30, 50), (0, 17, 0, 40), (0, 18, 5, 30), (3, 28, 0, 24), (0, 20, 0, 0), (50, 60, 0, 3)])]
+    rows.append((9, items[1][1]))
+    n, runs, found = decontam.hits_in(pa.array([t for _, t in rows]), decontam.test_block([i for i, _ in items], [t for _, t in items], size))
+    got = [(i, int(m), int(sum(b - a for a, b in zip(r[::2], r[1::2]))), len(x), brute.sha(",".join(sorted(map(str, x)))), len(r) > 0) for (i, _), m, r, x in zip(rows, n, runs, found)]
+    assert got == brute.leaks(rows, items, size)
+
+
 def test_longest_matches(docs, items):
     got = decontam.matches(docs, items).filter("item_id = 0 AND item_word = 0").orderBy(F.desc("n_words")).first()
     w = brute.LETTERS.findall(ROWS[44][1].translate(brute.LOWER))
