@@ -4,7 +4,8 @@ The training documents are cut into shards of bounded size. The words of a shard
 set's vocabulary (0 for all others, and between documents), and the shard's suffix array holds, in order, all
 suffixes that begin with two words that stand next to each other somewhere in the test set (or with the only word of an item of one word):
 no other suffix can be the answer to a search for a window. Every test suffix is binary-searched in every shard,
-which gives its longest verbatim match and where that is; every window, all its occurrences.
+which gives its longest verbatim match and where that is. A window is hit where the longest match of a suffix that it begins is
+as long as the window or longer; around that match stand all its occurrences.
 
 The test set goes to the executors in blocks of at most BLOCK_WORDS words; if there are more blocks, the documents pass through
 one search after another, each adding its hits to those that it is given.
@@ -121,7 +122,7 @@ class Searcher:
             whole[on, j] = test.text[s[w[on]] + j]
         _, one, which = np.unique(_as_bytes(whole), return_index=True, return_inverse=True) if len(w) else (w, w, w)
         low, high = whole[one, :DEPTH], whole[one, :DEPTH].copy()
-        self.length, self.begin = test.window[w][one], s[w][one]
+        self.length, self.at = test.window[w][one], w[one]  # a suffix that begins with each distinct window
         high[np.arange(DEPTH)[None, :] >= self.length[:, None]] = 0xFFFFFFFF
         self.low, self.high = _as_bytes(low), _as_bytes(high)
         order = np.argsort(which, kind="stable")  # the items of each distinct window
@@ -142,16 +143,17 @@ class Searcher:
         order = np.argsort(keys, kind="stable")
         return here[order], keys[order]
 
-    def windows(self, text: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each occurrence of a window: its place and the number of the window."""
-        lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
+    def windows(self, text: np.ndarray, sa: np.ndarray, keys: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each occurrence of a window: its place and the number of the window; best: the longest match of each test suffix."""
+        found = np.flatnonzero(best[self.at] >= self.length)
+        lo, hi = np.searchsorted(keys, self.low[found], "left"), np.searchsorted(keys, self.high[found], "right")
         n = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(n)), n)
+        which = np.repeat(found, n)
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         place, ok = sa[at], np.ones(len(at), bool)
         more = np.flatnonzero(self.length[which] > DEPTH)
         size = self.length[which[more]]
-        ok[more] = _common(self.test.text, self.begin[which[more]], text, place[more], size) == size
+        ok[more] = _common(self.test.text, self.test.suffix[self.at[which[more]]], text, place[more], size) == size
         return place[ok], which[ok]
 
     def longest(self, text: np.ndarray, sa: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +168,7 @@ class Searcher:
             n = _common(t.text, s[ok], text, sa[near[ok]], t.room[ok])
             more = n > best[ok]
             best[ok[more]], where[ok[more]] = n[more], sa[near[ok[more]]]
-        for k in np.flatnonzero(right - at > 1):
+        for k in np.flatnonzero((right - at > 1) & (best < t.room)):
             same = sa[at[k] : right[k]]
             n = _common(t.text, np.full(len(same), s[k]), text, same, np.full(len(same), t.room[k]))
             if n.max() > best[k]:
@@ -202,7 +204,8 @@ def hits_in(col: pa.Array, test: TestBlock, spans: list | None = None) -> tuple[
     n_words, runs, items = [], [], []
     for lo, text, begin, n in _shards(col, test):
         sa, keys = s.suffix_array(text)
-        place, which = s.windows(text, sa, keys)
+        best, _ = s.longest(text, sa, keys)
+        place, which = s.windows(text, sa, keys, best)
         step = np.zeros(len(text) + 1, np.int64)
         np.add.at(step, place, 1)
         np.add.at(step, place + s.length[which], -1)

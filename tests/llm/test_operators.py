@@ -270,6 +270,21 @@ def test_decontamination_by_windows_of_any_size(size):
     assert got == brute.leaks(rows, items, size)
 
 
+def test_hits_come_from_the_longest_matches_of_all_suffixes(monkeypatch):
+    longest, seen = decontam.Searcher.longest, []
+
+    def spy(self, *shard):
+        seen.append(longest(self, *shard))
+        return seen[-1]
+
+    monkeypatch.setattr(decontam.Searcher, "longest", spy)
+    test = decontam.test_block([0, 1], [" ".join(f"w{k}" for k in range(30)), "solo"])
+    _, runs, _ = decontam.hits_in(pa.array(["x " + " ".join(f"w{k}" for k in range(5, 25)), "w1 w2 w3 solo"]), test)
+    assert [r.tolist() for r in runs] == [[1, 21], [3, 4]]
+    best, where = seen[0]
+    assert best[:31].tolist() == [0, 3, 2, 0, 0, *range(20, 1, -1), 0, 0, 0, 0, 0, 0, 1] and where[5] == 1
+
+
 def test_longest_matches(docs, items):
     got = decontam.matches(docs, items).filter("item_id = 0 AND item_word = 0").orderBy(F.desc("n_words")).first()
     w = brute.LETTERS.findall(ROWS[44][1].translate(brute.LOWER))
