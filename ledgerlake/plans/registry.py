@@ -460,8 +460,8 @@ def commit_reload(rel):
     ns = rel("namespaces")
     path = f"{tempfile.mkdtemp(prefix='ledgerlake-')}/catalog"
     c = Catalog(path, Options(max_append_count=7))
-    named = namespaces.paths(ns).join(ns.select("ns_id", "parent_id"), "ns_id").orderBy("depth", "ns_id").limit(1000).collect()
-    for r in named:
+    named = namespaces.paths(ns).join(ns.select("ns_id", "parent_id"), "ns_id").orderBy("depth", "ns_id")
+    for r in named.toLocalIterator():
         ch = c.changes()
         ch._ns = r["ns_id"]
         c.commit(ch.create_namespace(r["path"]))
