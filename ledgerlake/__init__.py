@@ -1 +1 @@
-"""Spark-native engine for table-catalog state kept as a checkpoint plus an append-only log."""
+"""Spark-native engine for table-lake state kept as a checkpoint plus an append-only log."""

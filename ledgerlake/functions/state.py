@@ -1,4 +1,4 @@
-"""The catalog's state and the fold of its log, for one catalog: what a group of a distributed replay runs, and what the tests compare with."""
+"""The lake's state and the fold of its log, for one lake: what a group of a distributed replay runs, and what the tests compare with."""
 
 from __future__ import annotations
 
@@ -80,9 +80,10 @@ class State:
             self.namespaces[a["id"]] = {"parent_id": a["parent_id"], "name": a["name"], "version": max(a["version"], 1)}
             self.bump(a["parent_id"])
         elif kind == "drop_namespace":
-            gone = self.namespaces.pop(a["id"])
+            gone = self.namespaces.pop(a["id"], None)
             self.properties.pop(a["id"], None)
-            self.bump(gone["parent_id"])
+            if gone:
+                self.bump(gone["parent_id"])
         elif kind == "set_property":
             self.properties.setdefault(a["namespace_id"], {})[a["key"]] = a["value"] or ""
             self.bump(a["namespace_id"])
@@ -96,20 +97,23 @@ class State:
             self.tables[a["id"]] = Table(a["namespace_id"], a["name"], max(a["version"], 1), a.get("metadata_location"), a.get("metadata"))
             self.bump(a["namespace_id"])
         elif kind == "drop_table":
-            self.bump(self.tables.pop(a["id"]).namespace_id)
-        elif kind == "update_table":
-            t = self.tables[a["id"]]
-            t.location, t.metadata, t.version = a["metadata_location"], None, t.version + 1
-            t.pool, t.refs = {}, {}
-        elif kind == "update_table_inline":
-            t = self.tables[a["id"]]
-            if a.get("delta") is not None:
+            if dropped := self.tables.pop(a["id"], None):
+                self.bump(dropped.namespace_id)
+        elif kind in ("update_table", "update_table_inline") and a["id"] in self.tables:
+            self.update(self.tables[a["id"]], a)
+
+    def update(self, t: Table, a: dict) -> None:
+        """The update of a table that is there: actions before it in the transaction may have dropped it. The version is
+        one more than the captured one, however many updates of the table a transaction has."""
+        after = max(a["version"] + 1, 1)
+        if a["kind"] == "update_table" or a.get("delta") is None and a.get("metadata") is None and a.get("metadata_location") is not None:
+            t.location, t.metadata, t.pool, t.refs, t.version = a["metadata_location"], None, {}, {}, after
+        elif a.get("delta") is not None:
+            if t.location is None:  # where metadata isn't inline, a delta has nothing to change
                 self.patch(t, codec.decode("Delta", a["delta"])["updates"])
-            elif a.get("metadata") is not None:
-                t.metadata, t.location = a["metadata"], None
-            else:
-                t.location, t.metadata, t.pool, t.refs = a["metadata_location"], None, {}, {}
-            t.version += 1
+                t.version = after
+        elif a.get("metadata") is not None:
+            t.metadata, t.location, t.version = a["metadata"], None, after
 
     def patch(self, t: Table, updates: list[dict]) -> None:
         """A delta on a table: its metadata, and its pool with the snapshots' references."""
@@ -145,7 +149,8 @@ class State:
             t.pool.pop(p, None)
 
     def commit(self, txn: dict) -> bool:
-        """Applies a transaction if all its preconditions hold against the state before it."""
+        """Applies a transaction if all its preconditions hold against the state before it. Where an earlier action of it has
+        dropped what a later one names, the later one has nothing to do."""
         if not all(self.holds(a) for a in txn["actions"]):
             return False
         for a in txn["actions"]:
@@ -169,7 +174,7 @@ class State:
 
 def from_checkpoint(b: bytes) -> State:
     c = codec.decode("Checkpoint", b)
-    s = State(c["catalog_uuid"] or State.uuid, stored_next_namespace=c["next_namespace_id"] or 1, stored_next_table=c["next_table_id"] or 1)
+    s = State(c["lake_uuid"] or State.uuid, stored_next_namespace=c["next_namespace_id"] or 1, stored_next_table=c["next_table_id"] or 1)
     s.committed = dict.fromkeys(c["committed"])
     for n in c["namespaces"]:
         s.namespaces[n["id"]] = {"parent_id": n["parent_id"] or ROOT, "name": n["name"] or "", "version": n["version"] or 0}
@@ -196,7 +201,7 @@ def to_checkpoint(s: State) -> bytes:
                 "snapshot_refs": [{"snapshot_id": k, "pool_indices": [at[p] for p in paths if p in at]} for k, paths in t.refs.items()],
             })
     return codec.encode("Checkpoint", {
-        "catalog_uuid": s.uuid, "next_namespace_id": s.next_namespace, "next_table_id": s.next_table,
+        "lake_uuid": s.uuid, "next_namespace_id": s.next_namespace, "next_table_id": s.next_table,
         "namespaces": [{"id": i, **n} for i, n in s.namespaces.items()],
         "tables": [{"id": i, "version": t.version, "namespace_id": t.namespace_id, "name": t.name, "metadata_location": t.location} for i, t in s.tables.items() if t.location is not None],
         "namespace_properties": [{"namespace_id": i, "key": k, "value": v} for i, p in s.properties.items() for k, v in p.items()],

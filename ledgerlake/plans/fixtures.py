@@ -1,4 +1,4 @@
-"""The driver's tables as catalog relations. The text of each relation is valid in Spark and in DuckDB; only the few
+"""The driver's tables as lake relations. The text of each relation is valid in Spark and in DuckDB; only the few
 functions in DIALECTS differ."""
 
 from __future__ import annotations

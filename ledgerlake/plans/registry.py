@@ -1,4 +1,4 @@
-"""Every query over the catalog relations, and the SQL that it must agree with."""
+"""Every query over the lake relations, and the SQL that it must agree with."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.storage import shared_dir
 from ..operators import log, metadata, namespaces, pool
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Namespaces in a transaction of commit_reload.
+BATCH = 500
 #: Paths in DuckDB, for the queries that need them.
 _WALK = """,
 walk(ns_id, path) AS (SELECT ns_id, [name] FROM namespaces WHERE parent_id = 0
@@ -89,9 +92,9 @@ def tbl_mode(rel):
 
 
 @query("""SELECT ns_id, name FROM namespaces n WHERE NOT EXISTS (SELECT 1 FROM namespaces c WHERE c.parent_id = n.ns_id)
-  AND NOT EXISTS (SELECT 1 FROM tables t WHERE t.ns_id = n.ns_id AND t.tbl_id % 3 = 0 AND t.tbl_id < 100)""")
+  AND NOT EXISTS (SELECT 1 FROM tables t WHERE t.ns_id = n.ns_id)""")
 def ns_droppable(rel):
-    return namespaces.droppable(rel("namespaces"), rel("tables").filter("tbl_id % 3 = 0 AND tbl_id < 100")).select("ns_id", "name")
+    return namespaces.droppable(rel("namespaces"), rel("tables")).select("ns_id", "name")
 
 
 _LAST = """+last AS (SELECT owner, key, arg_max(CASE WHEN value = 'error' THEN '' ELSE value END, pos) AS value FROM properties GROUP BY owner, key)"""
@@ -396,7 +399,7 @@ def partition_bounds(rel):
 
 
 def _as_text(df):
-    """A catalog for each namespace of the fixture: encoded as a file, read again and replayed."""
+    """A lake for each namespace of the fixture: encoded as a file, read again and replayed."""
     import pandas as pd
 
     from ..functions import codec, state
@@ -407,9 +410,9 @@ def _as_text(df):
             for r in b.itertuples():
                 s = state.State(namespaces={r.ns_id: {"parent_id": r.parent_id, "name": r.name, "version": r.version}})
                 rows.append((str(r.ns_id), codec.file_bytes(state.to_checkpoint(s))))
-            yield pd.DataFrame(rows, columns=["catalog", "content"])
+            yield pd.DataFrame(rows, columns=["lake", "content"])
 
-    return df.mapInPandas(encode, "catalog string, content binary")
+    return df.mapInPandas(encode, "lake string, content binary")
 
 
 @query("SELECT ns_id, parent_id, name, version FROM namespaces")
@@ -421,7 +424,7 @@ def codec_roundtrip(rel):
 
 @query(_FOLD + "SELECT entity, arg_max(v, rn)::INTEGER AS version FROM f GROUP BY entity")
 def replay_files(rel):
-    """Each entity's log as encoded transactions of a catalog of its own, folded by the general replay."""
+    """Each entity's log as encoded transactions of a lake of its own, folded by the general replay."""
     import uuid
 
     import pandas as pd
@@ -436,35 +439,40 @@ def replay_files(rel):
                 one = {"kind": "update_table", "id": 1, "version": r.captured, "metadata_location": f"v{r.captured + 1}"}
                 txn = {"txn_id": str(uuid.UUID(int=r.pos)), "sealed": False, "actions": [one]}
                 rows.append((str(r.entity), r.pos, codec.encode("Transaction", txn)))
-            yield pd.DataFrame(rows, columns=["catalog", "pos", "record"])
+            yield pd.DataFrame(rows, columns=["lake", "pos", "record"])
 
     def begin(batches):
         made = {"txn_id": str(uuid.UUID(int=1 << 100)), "sealed": False, "actions": [{"kind": "create_table", "id": 1, "version": 1, "namespace_id": 0, "namespace_version": -1, "name": "t", "metadata_location": "v1"}]}
         for b in batches:
-            yield pd.DataFrame([(str(e), -1, codec.encode("Transaction", made)) for e in b["entity"]], columns=["catalog", "pos", "record"])
+            yield pd.DataFrame([(str(e), -1, codec.encode("Transaction", made)) for e in b["entity"]], columns=["lake", "pos", "record"])
 
-    t, kind = rel("txn_log"), "catalog string, pos long, record binary"
+    t, kind = rel("txn_log"), "lake string, pos long, record binary"
     log_ = t.select("entity", "pos", "captured").mapInPandas(encode, kind).unionByName(t.select("entity").distinct().mapInPandas(begin, kind))
-    return replay.replay_transactions(log_).select(F.col("catalog").cast("long").alias("entity"), "version")
+    return replay.replay_transactions(log_).select(F.col("lake").cast("long").alias("entity"), "version")
 
 
 @query("SELECT ns_id, parent_id, name, 1 + (SELECT count(*) FROM namespaces c WHERE c.parent_id = n.ns_id)::INTEGER AS version FROM namespaces n")
 def commit_reload(rel):
-    """The fixture's namespaces committed one by one, with a log of at most 7 records, and read back from the file."""
-    import tempfile
+    """The fixture's namespaces committed in transactions of at most BATCH of one depth, with a log of at most 7 records, and read back from the file."""
+    import itertools
+    import os
+    import uuid
 
-    from ..catalog import Catalog, Options
     from ..functions import state
+    from ..lake import Lake, Options
     from ..operators.replay import RELATIONS, rows_of
+    from ..sources.storage import HadoopStore
 
     ns = rel("namespaces")
-    path = f"{tempfile.mkdtemp(prefix='ledgerlake-')}/catalog"
-    c = Catalog(path, Options(max_append_count=7))
+    spark = ns.sparkSession
+    path = f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}/{os.getpid()}"
+    c = Lake(path, Options(max_append_count=7), HadoopStore(spark))
     named = namespaces.paths(ns).join(ns.select("ns_id", "parent_id"), "ns_id").orderBy("depth", "ns_id")
-    for r in named.toLocalIterator():
+    for _, rows in itertools.groupby(enumerate(named.toLocalIterator()), lambda x: (x[1]["depth"], x[0] // BATCH)):
         ch = c.changes()
-        ch._ns = r["ns_id"]
-        c.commit(ch.create_namespace(r["path"]))
-    with open(path, "rb") as f:
-        again = state.load(f.read())
-    return ns.sparkSession.createDataFrame(list(rows_of(path, again, "namespaces")), RELATIONS["namespaces"]).select("ns_id", "parent_id", "name", "version")
+        for _, r in rows:
+            ch._ns = r["ns_id"]
+            ch.create_namespace(r["path"])
+        c.commit(ch)
+    again = state.load(c.store.read(path)[0])
+    return spark.createDataFrame(list(rows_of(path, again, "namespaces")), RELATIONS["namespaces"]).select("ns_id", "parent_id", "name", "version")

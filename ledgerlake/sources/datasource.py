@@ -1,4 +1,4 @@
-"""`spark.read.format("ledgerlake").option("relation", "tables").load(path)`: a relation of one catalog file, read by one task."""
+"""`spark.read.format("ledgerlake").option("relation", "tables").load(path)`: a relation of one lake file, read by one task."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from ..functions import state
 from ..operators.replay import RELATIONS, rows_of
 
 
-class CatalogSource(DataSource):
+class LakeSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "ledgerlake"
@@ -28,5 +28,14 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.path.split(",")]
 
     def read(self, partition):
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            yield from rows_of(partition.value, state.load(f.read()), self.relation)
+        path = partition.value
+        if "://" in path:
+            from pyarrow import fs
+
+            where, at = fs.FileSystem.from_uri(path)
+            with where.open_input_stream(at) as f:
+                data = f.read()
+        else:
+            with open(path.removeprefix("file:"), "rb") as f:
+                data = f.read()
+        yield from rows_of(path, state.load(data), self.relation)

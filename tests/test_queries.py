@@ -1,4 +1,4 @@
-"""Every registered query of the catalog against its SQL, at the smallest size."""
+"""Every registered query of the lake against its SQL, at the smallest size."""
 
 import duckdb
 import pytest
