@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.storage import shared_dir
 
 #: White space as the operators understand it: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,24 +18,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The pattern of one word, for Java's and RE2's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if base := sc.getConf().get("spark.checkpoint.dir"):
-        return base.rstrip("/")
-    if sc.applicationId not in _own_dirs:
-        _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
-        sc.setCheckpointDir(_own_dirs[sc.applicationId])
-    return _own_dirs[sc.applicationId]
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -71,6 +57,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, stem: str = "_") -> str:
+    """A prefix that no column of df begins with."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of df as Catalyst estimates it from the files, for choosing a number of partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

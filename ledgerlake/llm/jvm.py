@@ -170,17 +170,20 @@ public class SuffixArray implements UDF1 {
   }
 }
 
-/** (s, doc) rows, each s once: the same rows, with the least doc of any string that holds each window of s, or null if that is doc for all. */
+/** (s, lo, hi, key) rows, each s once, with the least and the greatest doc that hold it: of those that lose anything the key, the string, lo, and the
+ *  spans (from, to) of its windows that a smaller doc than lo holds. What holds s and is greater than lo loses all of it. */
 public class Least implements UDF1 {
   public Object call(Object rows) {
     scala.collection.Seq seq = (scala.collection.Seq) rows;
     int m = seq.length(), n = 1;
     byte[][] s = new byte[m][];
     long[] doc = new long[m];
+    boolean[] several = new boolean[m];
     for (int k = 0; k < m; k++) {
       Row r = (Row) seq.apply(k);
       s[k] = (byte[]) r.get(0);
       doc[k] = r.getLong(1);
+      several[k] = r.getLong(2) > doc[k];
       n += s[k].length + 1;
     }
     int[] t = new int[n], of = new int[n], left = new int[n];
@@ -214,21 +217,22 @@ public class Least implements UDF1 {
       }
       x = y;
     }
-    Object[] out = new Object[m];
+    ArrayList out = new ArrayList();
     p = 0;
     for (int k = 0; k < m; k++) {
       int w = Math.max(0, s[k].length - Runs.WINDOW + 1);
-      boolean any = false;
-      for (int i = 0; i < w; i++) any = any || least[p + i] < doc[k];
-      Object[] mins = null;
-      if (any) {
-        mins = new Object[w];
-        for (int i = 0; i < w; i++) mins[i] = Long.valueOf(least[p + i]);
+      ArrayList spans = null;
+      for (int i = 0; i < w; i++) {
+        if (least[p + i] >= doc[k]) continue;
+        int from = i;
+        while (i + 1 < w && least[p + i + 1] < doc[k]) i++;
+        if (spans == null) spans = new ArrayList();
+        spans.add(RowFactory.create(new Object[]{Integer.valueOf(from), Integer.valueOf(i + Runs.WINDOW)}));
       }
-      out[k] = RowFactory.create(new Object[]{s[k], Long.valueOf(doc[k]), mins});
+      if (spans != null || several[k]) out.add(RowFactory.create(new Object[]{((Row) seq.apply(k)).get(3), s[k], Long.valueOf(doc[k]), spans == null ? null : spans.toArray()}));
       p += s[k].length + 1;
     }
-    return out;
+    return out.toArray();
   }
 }
 
@@ -283,7 +287,7 @@ RUNS = "array<struct<key: bigint, first: int, n: int>>"
 FUNCTIONS = {
     "ll_anchors": ("Anchors", RUNS),
     "ll_suffix_array": ("SuffixArray", "array<int>"),
-    "ll_least": ("Least", "array<struct<s: binary, doc: bigint, mins: array<bigint>>>"),
+    "ll_least": ("Least", "array<struct<key: bigint, s: binary, lo: bigint, lost: array<struct<begin: int, stop: int>>>>"),
     "ll_strings": ("Strings", "array<struct<key: bigint, first: int, s: binary>>"),
     "ll_without": ("Without", "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary, spans: array<struct<begin: int, stop: int>>>"),
 }

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jvm
-from .common import dropped, release, table, written
+from .common import dropped, fresh, release, table, written
 
 WINDOW = 50
 #: Strings in a shard on average, and at most under one key.
@@ -33,31 +33,35 @@ _FIRST = -(1 << 63)
 
 
 def _print(s: str):
-    """128 bits that stand for a string, in joins that need not move it."""
-    return F.unhex(F.md5(s)).alias("p")
+    """Stands for a string, together with its key, in joins that need not move it: 128 bits of two hash functions."""
+    return F.xxhash64(s).alias("p")
 
 
-def least_docs(strings: DataFrame, shard_strings: int = SHARD_STRINGS) -> DataFrame:
-    """strings(key, s, doc), each s once, as s, doc, mins: for each window of s the least doc of any string that holds it; null if it is doc for all."""
+def losses(strings: DataFrame, shard_strings: int = SHARD_STRINGS) -> DataFrame:
+    """strings(key, s, lo, hi): each s once, with the least and the greatest doc that hold it. Of those that lose bytes in any document: key, s, lo, and
+    lost, the spans of s that a document before lo holds; what else holds s loses all of it."""
     sizes = strings.groupBy("key").agg(F.count("*").alias("n"))
     total = strings.count()
     large = sizes.filter(F.col("n") > shard_strings).select("key")
     shards = max(1, total // MEAN_STRINGS)
     common = strings.join(large, "key", "left_anti")
-    by_shard = common.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("s", "doc")).alias("rows"))
+    by_shard = common.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("s", "lo", "hi", "key")).alias("rows"))
     arrays = by_shard.select(F.explode(F.call_udf("ll_least", "rows")).alias("r")).select("r.*")
     if not large.limit(1).count():
         return arrays
-    rest = strings.join(large, "key", "left_semi").select("s", "doc")
-    windows = rest.select("s", "doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("s") - WINDOW), lambda k: F.substring(F.col("s"), k + 1, F.lit(WINDOW)))).alias("k", "w"))
-    low = windows.groupBy("w").agg(F.min("doc").alias("low"))
-    back = windows.join(low, "w").groupBy("s", "doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("mins"))
-    return arrays.unionByName(back.select("s", "doc", F.when(F.array_min("mins") < F.col("doc"), F.col("mins")).alias("mins")))
-
-
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_strings: int = SHARD_STRINGS) -> DataFrame:
-    """docs with _cut: n_bytes, n_removed, n_spans, kept (binary) and spans."""
-    spark = docs.sparkSession
+    rest = strings.join(large, "key", "left_semi").select("key", "s", "lo", "hi")
+    windows = rest.select("key", "s", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("s") - WINDOW), lambda k: F.substring(F.col("s"), k + 1, F.lit(WINDOW)))).alias("k", "w"))
+    low = windows.groupBy("w").agg(F.min("lo").alias("low"))
+    span = F.struct(F.col("k").alias("begin"), (F.col("k") + WINDOW).alias("stop"))
+    back = windows.join(low, "w").groupBy("key", "s", "lo", "hi").agg(F.collect_list(F.when(F.col("low") < F.col("lo"), span)).alias("lost"))
+    return arrays.unionByName(back.filter("lo < hi OR size(lost) > 0").select("key", "s", "lo", F.when(F.size("lost") > 0, F.col("lost")).alias("lost")))
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_strings: int = SHARD_STRINGS, out: str = "_cut") -> DataFrame:
+    """docs with the column `out`: n_bytes, n_removed, n_spans, kept (binary) and spans."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {out}")
+    spark, mark = docs.sparkSession, fresh(docs)
     jvm.register(spark)
     given, which = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)), F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
     several = docs.select(given.alias("doc"), which.alias("which")).groupBy("doc").agg(F.min("which").alias("lo"), F.max("which").alias("hi")).filter("lo < hi")
@@ -78,29 +82,30 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_s
     places = written(cut.select(*own, "r.key", "r.first", "r.s", _print("r.s"), F.length("r.s").alias("size")), "suffix-strings")
     dropped(of_doc)
     release(spark)
-    folded = written(places.groupBy("key", "s").agg(F.min("doc").alias("doc")), "suffix-folded")
-    light = written(places.select(*own, "first", "size", "p"), "suffix-places")
+    folded = written(places.groupBy("key", "s").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), "suffix-folded")
+    release(spark)
+    light = written(places.select(*own, "key", "first", "size", "p"), "suffix-places")
     dropped(places)
     release(spark)
-    least = written(least_docs(folded, shard_strings).select(_print("s"), F.col("doc").alias("low"), "mins"), "suffix-least")
+    lost = written(losses(folded, shard_strings).select("key", _print("s"), "lo", "lost"), "suffix-lost")
     dropped(folded)
     release(spark)
-    n = F.col("size") - WINDOW + 1
     whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop")))
-    some = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.element_at("mins", k + 1) < F.col("doc")), lambda k: F.struct((F.col("first") + k).alias("begin"), (F.col("first") + k + WINDOW).alias("stop")))
-    hit = light.join(least, "p").filter("low < doc OR mins IS NOT NULL")
-    spans = hit.select(*own, F.explode(F.when(F.col("low") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy(*[F.col(k).alias(f"_{k}") for k in own]).agg(F.collect_list("span").alias("_spans"))
+    some = F.transform("lost", lambda x: F.struct((F.col("first") + x["begin"]).alias("begin"), (F.col("first") + x["stop"]).alias("stop")))
+    hit = light.join(lost, ["key", "p"]).filter("lo < doc OR lost IS NOT NULL")
+    spans = hit.select(*own, F.explode(F.when(F.col("lo") < F.col("doc"), whole).otherwise(some)).alias("span")).groupBy(*[F.col(k).alias(mark + k) for k in own]).agg(F.collect_list("span").alias(f"{mark}spans"))
     spans = written(spans, "suffix-spans")
-    dropped(light, least)
+    dropped(light, lost)
     release(spark)
-    back = docs.join(spans.hint("shuffle_hash"), [c == F.col(f"_{k}") for k, c in row.items()], "left")
-    return back.withColumn("_cut", F.call_udf("ll_without", F.col(text).cast("binary"), F.col("_spans"))).drop(*[f"_{k}" for k in own], "_spans")
+    back = docs.join(spans.hint("shuffle_hash"), [c == F.col(mark + k) for k, c in row.items()], "left")
+    return back.select(*[F.col(f"`{c}`") for c in docs.columns], F.call_udf("ll_without", F.col(text).cast("binary"), F.col(f"{mark}spans")).alias(out))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of their text. Cuts may fall inside a character; what is left of it is replaced by U+FFFD."""
-    d = removed(docs, doc_id, text)
-    return d.select(*[F.when(F.col(text).isNotNull(), F.decode("_cut.kept", F.lit("UTF-8"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    out = f"{fresh(docs)}cut"
+    d = removed(docs, doc_id, text, out=out)
+    return d.select(*[F.when(F.col(text).isNotNull(), F.decode(f"{out}.kept", F.lit("UTF-8"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
