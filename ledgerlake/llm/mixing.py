@@ -2,20 +2,20 @@
 
 The token shares p of the sources are raised to an exponent a and normalised. a is found by bisection: the
 largest a in [0, 1] at which the entropy of the weights still reaches `target_entropy` (as a share of the
-logarithm of the number of sources), but no smaller than what the repetition limit allows. Each round
-tries 64 exponents at once in one aggregation over the sources, so 5 rounds halve the interval 30 times, and the
+logarithm of the number of sources), but no smaller than what the repetition limit allows. The middles of LEVELS halvings are
+looked up in one aggregation over the sources, so 5 rounds halve the interval 30 times, and the
 driver sees a few numbers, however many sources there are.
 
 The budget is such that the largest source is read exactly once; source i is then read
 r_i = (p_max / p_i)^(1 - a) times, 1 at least, so no document is lost. The weights are realised in
 epochs: every epoch puts the documents of a source in another order (a permutation keyed by md5 of
 doc_id, epoch and seed) that is cut into blocks of about BLOCK_ROWS documents; whole epochs are taken whole, and the last
-is taken in permuted order up to the budgeted tokens. Prefix sums are taken over the totals of the
-blocks and then within each block, so that a source with a third of all rows isn't sorted in one task.
+is taken in permuted order up to the budgeted tokens. A document's place in an epoch, and the tokens up to it, are prefix sums over the
+totals of super-blocks, of the blocks in one, and within a block, so that a source with a third of all rows isn't sorted or summed in one task.
 
 Defined results: a null source is a source of its own; tokens are white-space separated words, at least 1
-for every document, so null and empty texts count as 1; ties in the permutation (repeated doc_ids) are taken
-together; extra columns stay; an empty table gives an empty table.
+for every document, so null and empty texts count as 1; rows with one doc_id and source are one document, with the tokens of all; extra columns stay,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, table, written
+from .common import WHITE, fresh, input_bytes, table, written
 
-GRID, ROUNDS = 64, 5
+LEVELS, ROUNDS = 6, 5
+GRID = 1 << LEVELS
 #: Documents in a block of a permutation, on average.
 BLOCK_ROWS = 1024
+#: Blocks in a super-block.
+BLOCKS = 1024
 #: Digits of the md5 that blocks are cut by.
 DIGITS = 7
 
@@ -40,18 +43,17 @@ def n_tokens(text: str):
 
 
 def exponent(stats: DataFrame, target_entropy: float, max_repeats: float) -> float:
-    """The exponent for stats(source, tokens): from the entropies that Spark computes at 64 exponents a round."""
+    """The exponent for stats(source, tokens), by bisection: a round halves the interval LEVELS times, by the entropies at all middles that it can come to."""
     total, largest, smallest, n = stats.agg(F.sum("tokens"), F.max("tokens"), F.min("tokens"), F.count("*")).first()
     if not n or n == 1 or largest == smallest:
         return 1.0
     # p_max / p_i is at most largest / smallest, and r = (p_max / p_i)^(1 - a) <= max_repeats
     floor = max(0.0, 1.0 - math.log(max_repeats) / math.log(largest / smallest)) if max_repeats > 1 else 1.0
-    goal, lo, width = target_entropy * math.log(n), 0, 1 << 30
+    goal, lo, width = target_entropy * math.log(n), 0, 1 << (LEVELS * ROUNDS)
     relative = F.log(F.col("tokens").cast("double") / F.lit(float(largest)))
     for _ in range(ROUNDS):
         step = width // GRID
-        tries = [lo + k * step for k in range(GRID)]
-        a = [F.struct(F.lit(k).alias("k"), F.lit(t / (1 << 30)).alias("a")) for k, t in enumerate(tries)]
+        a = [F.struct(F.lit(k).alias("k"), F.lit((lo + k * step) / (1 << 30)).alias("a")) for k in range(1, GRID)]
         rows = (
             stats.select(relative.alias("x"), F.explode(F.array(*a)).alias("t"))
             .select("t.k", F.exp(F.col("t.a") * F.col("x")).alias("w"), (F.col("t.a") * F.col("x")).alias("l"))
@@ -60,52 +62,83 @@ def exponent(stats: DataFrame, target_entropy: float, max_repeats: float) -> flo
             .select("k", (F.log("w") - F.col("wl") / F.col("w")).alias("entropy"))
             .collect()
         )
-        # entropy falls as a grows: the last exponent that still reaches the goal
-        best = max((r["k"] for r in rows if r["entropy"] >= goal), default=0)
-        lo, width = lo + best * step, step
+        entropy = {r["k"]: r["entropy"] for r in rows}
+        left, right = 0, GRID  # entropy falls as a grows: it reaches the goal at left, and not at right
+        while right - left > 1:
+            middle = (left + right) // 2
+            left, right = (middle, right) if entropy[middle] >= goal else (left, middle)
+        lo, width = lo + left * step, step
     return max(lo / (1 << 30), floor)
 
 
-def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", target_entropy: float = 0.95, max_repeats: float = 2.0, seed: int = 0) -> DataFrame:
-    """docs with _tokens and _copies: how many times the mixture reads each document."""
-    spark = docs.sparkSession
+def _reads(docs: DataFrame, source: str, doc_id: str, text: str, target_entropy: float, max_repeats: float, seed: int) -> DataFrame:
+    """s, d, tokens, epoch, place, of: each document of a source as often as the mixture reads it, with its place in the epoch's permutation of `of` documents."""
     facts = written(
-        docs.select(F.col(source).alias("_s"), F.col(doc_id).alias("_d"), n_tokens(text).alias("_tokens")).groupBy("_s", "_d").agg(F.sum("_tokens").alias("_tokens"), F.count("*").alias("_n")),
+        docs.select(F.col(source).alias("s"), F.col(doc_id).alias("d"), n_tokens(text).alias("tokens")).groupBy("s", "d").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")),
         "mix-facts",
     )
-    stats = written(facts.groupBy("_s").agg(F.sum("_tokens").alias("tokens"), F.sum("_n").alias("rows")), "mix-sources")
+    stats = written(facts.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"), F.count("*").alias("of")), "mix-sources")
     a = exponent(stats, target_entropy, max_repeats)
     largest = float(stats.agg(F.max("tokens")).first()[0] or 1)
     plan = stats.select(
-        F.col("_s").alias("_ps"), "tokens",
-        F.exp(F.lit(1.0 - a) * (F.lit(math.log(largest)) - F.log(F.col("tokens").cast("double")))).alias("_r"),
-        F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("_blocks"),
-    ).select("_ps", F.floor("_r").alias("_whole"), F.floor((F.col("_r") - F.floor("_r")) * F.col("tokens")).alias("_budget"), "_blocks")
-    key = F.md5(F.concat(F.coalesce(F.col("_d").cast("string"), F.lit("")), F.lit(":"), F.col("_whole").cast("string"), F.lit(f":{seed}")))
-    d = facts.join(plan, facts["_s"].eqNullSafe(plan["_ps"])).drop("_ps").withColumn("_key", key)
-    place = F.conv(F.substring("_key", 1, DIGITS), 16, 10).cast("long")
-    d = d.withColumn("_block", F.floor(place * F.col("_blocks") / F.lit(16**DIGITS)))
-    blocks = d.groupBy("_s", "_block").agg(F.sum("_tokens").alias("_in_block"))
-    before = F.sum("_in_block").over(Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select(F.col("_s").alias("_bs"), F.col("_block").alias("_bb"), F.coalesce(before, F.lit(0)).alias("_before"))
-    d = d.join(blocks, d["_s"].eqNullSafe(blocks["_bs"]) & (d["_block"] == blocks["_bb"]))
-    within = F.sum("_tokens").over(Window.partitionBy("_s", "_block").orderBy("_key"))
-    copies = (F.col("_whole") + (F.col("_before") + within <= F.col("_budget")).cast("long")).alias("_copies")
-    chosen = d.select(F.col("_s").alias("_cs"), F.col("_d").alias("_cd"), F.col("_tokens"), F.col("_n"), copies)
-    on = F.col(source).eqNullSafe(F.col("_cs")) & F.col(doc_id).eqNullSafe(F.col("_cd"))
-    return docs.join(chosen, on, "left").drop("_cs", "_cd", "_n")
-
-
-def repeated(docs: DataFrame, **kw) -> DataFrame:
-    """docs as the mixture reads them: each row as often as it is to be read, with the columns of docs."""
-    m = mixed(docs, **kw)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return m.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("col").select(*cols)
+        F.col("s").alias("ps"), "tokens", "of",
+        F.exp(F.lit(1.0 - a) * (F.lit(math.log(largest)) - F.log(F.col("tokens").cast("double")))).alias("r"),
+        F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("blocks"),
+    ).select("ps", "of", F.floor("r").alias("whole"), F.floor((F.col("r") - F.floor("r")) * F.col("tokens")).alias("budget"), "blocks")
+    d = facts.join(plan, facts["s"].eqNullSafe(plan["ps"])).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+    key = F.md5(F.concat(F.coalesce(F.col("d").cast("string"), F.lit("")), F.lit(":"), F.col("epoch").cast("string"), F.lit(f":{seed}")))
+    spot = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("long")
+    d = d.select("s", "d", "tokens", "of", "whole", "budget", "epoch", key.alias("key"), "blocks").withColumn("block", F.floor(spot * F.col("blocks") / F.lit(16**DIGITS)))
+    # prefix sums over super-blocks, over the blocks in each, and within a block
+    upto = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = d.groupBy("s", "epoch", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).withColumn("super", F.floor(F.col("block") / BLOCKS))
+    supers = blocks.groupBy("s", "epoch", "super").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    supers = supers.select(F.col("s").alias("us"), F.col("epoch").alias("ue"), F.col("super").alias("uu"), upto("t", "s", "epoch", "super").alias("ut"), upto("n", "s", "epoch", "super").alias("un"))
+    blocks = blocks.join(supers, blocks["s"].eqNullSafe(supers["us"]) & (blocks["epoch"] == supers["ue"]) & (blocks["super"] == supers["uu"]))
+    blocks = blocks.select(
+        F.col("s").alias("bs"), F.col("epoch").alias("be"), F.col("block").alias("bb"),
+        (F.col("ut") + upto("t", "s", "epoch", "super", "block")).alias("before"), (F.col("un") + upto("n", "s", "epoch", "super", "block")).alias("rank"),
+    )
+    d = d.join(blocks, d["s"].eqNullSafe(blocks["bs"]) & (d["epoch"] == blocks["be"]) & (d["block"] == blocks["bb"]))
+    within = Window.partitionBy("s", "epoch", "block").orderBy("key")
+    d = d.withColumns({"total": F.col("before") + F.sum("tokens").over(within), "place": F.col("rank") + F.row_number().over(within) - 1})
+    return d.filter("epoch < whole OR total <= budget").select("s", "d", "tokens", "epoch", "place", "of")
+
+
+def _joined(docs: DataFrame, found: DataFrame, source: str, doc_id: str, prefix: str) -> DataFrame:
+    found = found.select(*[F.col(c).alias(prefix + c) for c in found.columns])
+    on = F.col(source).eqNullSafe(F.col(f"{prefix}s")) & F.col(doc_id).eqNullSafe(F.col(f"{prefix}d"))
+    return docs.join(found, on, "left").drop(f"{prefix}s", f"{prefix}d")
+
+
+def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", target_entropy: float = 0.95, max_repeats: float = 2.0, seed: int = 0, prefix: str = "_") -> DataFrame:
+    """docs with three columns, named with the prefix: tokens; copies, how many times the mixture reads the document; and places, its places in the epochs
+    that read it, in order."""
+    if taken := {c.lower() for c in docs.columns} & {prefix + x for x in ("tokens", "copies", "places")}:
+        raise ValueError(f"docs have columns {sorted(taken)}")
+    r = _reads(docs, source, doc_id, text, target_entropy, max_repeats, seed)
+    # a document is read at most max_repeats + 1 times
+    chosen = r.groupBy("s", "d", "tokens").agg(F.count("*").alias("copies"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "place"))), lambda x: x["place"]).alias("places"))
+    mark = fresh(docs)
+    back = _joined(docs, chosen, source, doc_id, mark)
+    return back.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(mark + c).alias(prefix + c) for c in ("tokens", "copies", "places")])
+
+
+def repeated(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", target_entropy: float = 0.95, max_repeats: float = 2.0, seed: int = 0) -> DataFrame:
+    """docs as the mixture reads them, with the columns of docs. A row's place in its epoch, as a share of its source's documents, gives the slice of the epoch
+    that it goes to, so each slice mixes the sources by their weights, and within a partition rows stand in the order of slices and places."""
+    mark = fresh(docs)
+    r = _joined(docs, _reads(docs, source, doc_id, text, target_entropy, max_repeats, seed), source, doc_id, mark)
+    parts = max(12, input_bytes(docs) // (16 << 20))
+    at = (F.col(f"{mark}place") + 0.5) / F.col(f"{mark}of")
+    r = r.withColumns({f"{mark}at": at, f"{mark}slice": F.floor(at * parts)})
+    r = r.repartition(parts, f"{mark}epoch", f"{mark}slice").sortWithinPartitions(f"{mark}epoch", f"{mark}slice", f"{mark}at", doc_id)
+    return r.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
-        "doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies")
+        "doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"), F.array_join(F.col("_places").cast("array<string>"), ",").alias("places")
     )
 
 
@@ -130,11 +163,11 @@ a AS (SELECT CASE WHEN n <= 1 OR largest = smallest THEN 1.0
 r AS (SELECT source, tokens, n_rows, exp((1.0 - a) * (ln(largest::DOUBLE) - ln(tokens::DOUBLE))) AS r FROM st, tot, a),
 p AS (SELECT source, floor(r)::BIGINT AS w, floor((r - floor(r)) * tokens)::BIGINT AS budget,
         greatest(1, ceil(n_rows / {BLOCK_ROWS}.0))::BIGINT AS blocks FROM r),
-k AS (SELECT f.doc_id, f.source, n_tokens, w, budget, blocks, md5(coalesce(doc_id::VARCHAR, '') || ':' || w || ':0') AS key
-      FROM f JOIN p ON f.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, source, n_tokens,
-  w + (sum(n_tokens) OVER (PARTITION BY source ORDER BY key) <= budget)::BIGINT AS copies
-FROM k
+k AS (SELECT f.doc_id, f.source, n_tokens, w, budget, e AS epoch, md5(coalesce(doc_id::VARCHAR, '') || ':' || e || ':0') AS key
+      FROM (SELECT p.*, unnest(range(0, w + 1)) AS e FROM p) AS p JOIN f ON f.source IS NOT DISTINCT FROM p.source),
+q AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY key) - 1 AS place, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key) AS upto FROM k)
+SELECT doc_id, source, n_tokens, count(*)::BIGINT AS copies, string_agg(place::VARCHAR, ',' ORDER BY epoch) AS places
+FROM q WHERE epoch < w OR upto <= budget GROUP BY doc_id, source, n_tokens
 """
 
 QUERIES = {"op9_mixing": op9_mixing}
