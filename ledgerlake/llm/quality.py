@@ -1,12 +1,12 @@
 """Quality rules as a ledger of failure bits (SQL functions only).
 
-Every rule is evaluated once for each document. The ledger stores a bit for each failed rule, and the
+Every rule is evaluated once for each document. The ledger, a table in the shared folder, stores a bit for each failed rule, and the
 integer measurements that the rules were judged on. A policy is a named, versioned mask over the bits,
-so that a changed policy costs a bitwise `and`, not another pass over the texts; ablations come
-from the counts of bit patterns.
+so that a changed policy costs a bitwise `and` over the stored ledger, not another pass over the texts; ablations come
+from the counts of bit patterns. Policies, queries and the pipeline's stage read the ledger back.
 
 Defined results: a null text has no words and no lines with a word, so it fails `few_words`; extra
-columns are ignored by `ledger` and kept by `apply_policy`; repeated rows give repeated rows; a null
+columns are ignored by `ledger` and kept by `annotated` and `apply_policy`, whatever their names; repeated rows give repeated rows; a null
 doc_id stays null; an empty table gives an empty ledger.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, table
+from .common import WHITE, fresh, table, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -107,9 +107,15 @@ def _bits(prefix: str = "") -> Column:
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, the measurements and failure_bits."""
+    """The stored ledger, one row for each document: doc_id, the measurements and failure_bits."""
     d = measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return d.select("doc_id", *MEASURES, _bits().alias("failure_bits"))
+    return written(d.select("doc_id", *MEASURES, _bits().alias("failure_bits")), "quality-ledger")
+
+
+def annotated(docs: DataFrame, text: str = "text", prefix: str = "_q") -> DataFrame:
+    """docs, stored with their ledger entries beside them: the measurements and failure_bits, with the prefix."""
+    d = measured(docs, text, prefix)
+    return written(d.withColumn(f"{prefix}failure_bits", _bits(prefix)), "quality-rows")
 
 
 def passes(bits: Column | str, policy: Policy = STANDARD) -> Column:
@@ -135,15 +141,10 @@ def ablations(led: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def apply_policy(docs: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, that the policy keeps. Clashing column names are no trouble:
-    the measurements carry a prefix that no column of docs starts with."""
-    prefix = "_q"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_q"
-    # the partition's number, which isn't deterministic, keeps the optimizer from moving the condition below the measurements,
-    # where it would hold a copy of them for each place that names one
-    d = measured(docs, text, prefix).withColumn(f"{prefix}at", F.spark_partition_id())
-    return d.filter(passes(_bits(prefix), policy) & (F.col(f"{prefix}at") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all their columns, that the policy keeps."""
+    prefix = fresh(docs, "_q")
+    rows = annotated(docs, text, prefix)
+    return rows.filter(passes(f"{prefix}failure_bits", policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,5 +182,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failure_bits = 0 AS kept, failure_bits FROM b
 """
 
-QUERIES = {"op6_quality": op6_quality}
-ORACLES = {"op6_quality": OP6_SQL}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard and of the base policy rejects, from one stored ledger."""
+    led = ledger(table(spark, sf_dir, "documents"))
+    return ablations(led, STANDARD).unionByName(ablations(led, BASE)).select("policy", "rule", "n_failed", "n_only")
+
+
+def _ablations_sql(policy: Policy) -> str:
+    rows = [(name, 1 << k) for k, (name, _) in enumerate(RULES) if name in policy.rules]
+    return " UNION ALL ".join(
+        f"SELECT '{policy.version}' AS policy, '{name}' AS rule, (count(*) FILTER (WHERE failure_bits & {bit} <> 0))::BIGINT AS n_failed,"
+        f" (count(*) FILTER (WHERE failure_bits & {policy.mask} = {bit}))::BIGINT AS n_only FROM led"
+        for name, bit in rows
+    )
+
+
+ABLATIONS_SQL = f"WITH led AS ({OP6_SQL.strip()}) {_ablations_sql(STANDARD)} UNION ALL {_ablations_sql(BASE)}"
+
+QUERIES = {"op6_quality": op6_quality, "quality_ablations": quality_ablations}
+ORACLES = {"op6_quality": OP6_SQL, "quality_ablations": ABLATIONS_SQL}
