@@ -7,8 +7,9 @@ no other suffix can be the answer to a search for a window. Every test suffix is
 which gives its longest verbatim match and where that is. A window is hit where the longest match of a suffix that it begins is
 as long as the window or longer; around that match stand all its occurrences.
 
-The test set goes to the executors in blocks of at most BLOCK_WORDS words; if there are more blocks, the documents pass through
-one search after another, each adding its hits to those that it is given.
+The test set goes to the executors in blocks of at most BLOCK_WORDS words (or of one longer item), which the driver reads one after another; if
+there are more blocks, the documents pass through one search after another, each adding its hits to those that it is given. After every PASSES
+searches the documents are written and those blocks are freed, so the driver and the executors hold at most PASSES blocks.
 
 Defined results: words are of letters, digits and all characters beyond ASCII, lower-cased in A-Z; null and empty texts have no
 words and hit nothing; items without words have no windows, items with a null item_id count for hits, but aren't listed; repeated rows
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import map_arrow, table
+from .common import dropped, fresh, map_arrow, table, written
 
 WINDOW = 10
 #: Words of the test set in a block: 16 MB of numbers and hashes.
 BLOCK_WORDS = 1 << 20
 SHARD_BYTES = 1 << 22
+PASSES = 4
 #: Words by which suffixes are ordered; longer matches are followed word by word.
 DEPTH = 16
 
@@ -233,33 +235,49 @@ def hits_in(col: pa.Array, test: TestBlock, spans: list | None = None) -> tuple[
 
 
 def test_blocks(benchmark: DataFrame, size: int = WINDOW):
-    """The test set in blocks of bounded size; one item is never in two."""
-    ids, texts, n = [], [], 0
+    """The test set in blocks of bounded size, one empty block at least; one item is never in two."""
+    ids, texts, n, found = [], [], 0, False
     for row in benchmark.select("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"] or "")
         n += len(texts[-1]) // 2 + 1  # words are at least a character and a space
         if n >= BLOCK_WORDS:
             yield test_block(ids, texts, size)
-            ids, texts, n = [], [], 0
-    if ids:
+            ids, texts, n, found = [], [], 0, True
+    if ids or not found:
         yield test_block(ids, texts, size)
 
 
-ADDED = ("_words", "_spans", "_items")
+ADDED = ("words", "spans", "items")
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs with _words (number of words), _spans (hit runs of words) and _items (the items whose windows occur). Nothing is shuffled."""
+def _freed(done: list, df: DataFrame, tag: str) -> DataFrame:
+    """df written, and what it was made from let go: broadcasts, and a table written before."""
+    back = written(df, tag)
+    for x in done:
+        dropped(x) if isinstance(x, DataFrame) else x.destroy()
+    done[:] = [back]
+    return back
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, prefix: str = "_") -> DataFrame:
+    """docs with three columns, named with the prefix: words (number of words), spans (hit runs of words) and items (the items whose windows occur).
+    Nothing is shuffled."""
+    added = [prefix + x for x in ADDED]
+    if taken := {c.lower() for c in docs.columns} & set(added):
+        raise ValueError(f"docs have columns {sorted(taken)}")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.withColumns({"_words": F.lit(None).cast("long"), "_spans": F.lit(None).cast("array<long>"), "_items": F.lit(None).cast(f"array<{kind}>")})
-    schema, sc = out.schema, docs.sparkSession.sparkContext
-    for block in list(test_blocks(benchmark, size)) or [test_block([], [], size)]:
+    out = docs.withColumns({c: F.lit(None).cast(t) for c, t in zip(added, ("long", "array<long>", f"array<{kind}>"))})
+    schema, sc, done = out.schema, docs.sparkSession.sparkContext, []
+    for number, block in enumerate(test_blocks(benchmark, size)):
+        if number and number % PASSES == 0:
+            out = _freed(done, out, "decontam-searched")
         sent = sc.broadcast(block)
+        done.append(sent)
 
         def search(batches, sent=sent):
             for b in batches:
-                k = [b.schema.get_field_index(x) for x in ("text", *ADDED)]
+                k = [b.schema.get_field_index(x) for x in ("text", *added)]
                 known, before = b.column(k[2]), b.column(k[3])
                 spans = None if known.null_count == len(known) else [x or [] for x in known.to_pylist()]
                 n, runs, items = hits_in(b.column(k[0]), sent.value, spans)
@@ -277,15 +295,19 @@ def searched(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataF
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs without any hit, with the columns of docs."""
-    return searched(docs, benchmark, size).filter(F.size("_spans") == 0).drop(*ADDED)
+    prefix = fresh(docs)
+    return searched(docs, benchmark, size, prefix).filter(F.size(f"{prefix}spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, size: int = WINDOW) -> DataFrame:
     """The longest verbatim match of every test suffix in every shard, of `least` words or more: item_id, item_word, doc_id, doc_word, n_words."""
     ids, items = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    sc, found = docs.sparkSession.sparkContext, None
-    for block in list(test_blocks(benchmark, size)) or [test_block([], [], size)]:
+    sc, found, done = docs.sparkSession.sparkContext, None, []
+    for number, block in enumerate(test_blocks(benchmark, size)):
+        if number and number % PASSES == 0:
+            found = _freed(done, found, "decontam-matches")
         sent = sc.broadcast(block)
+        done.append(sent)
 
         def search(batches, sent=sent):
             test = sent.value
