@@ -4,20 +4,21 @@
    set, its SKETCH lowest hashes and, of those, the KEYS lowest whole. Documents with the same set are folded
    to the one with the least doc_id.
 2. Inverted lists: of its KEYS lowest values, a document goes into the lists of the LISTS lowest that another
-   document has too. A document of which fewer than a quarter of the keys are shared can't have a partner. Two documents
+   document has too. A document of which fewer than a quarter of the keys are shared has no partner, but for a chance of
+   under 1e-7 at a similarity of 0.75. Two documents
    with a similarity of 0.75 share no list with a chance of 0.25^12 = 6e-8.
 3. Lists are cut into blocks of at most about BLOCK documents, and every pair of blocks is looked at by itself, so a list
    of any length is spread over tasks. A pair is looked at in one list only, that of the least value that both
-   have. The sketch of the union estimates the similarity; pairs within five standard errors of 0.75 go on. Of pairs of sets
-   that the sketches hold whole, only a spanning forest goes on.
+   have. The sketch of the union estimates the similarity; pairs within five standard errors of 0.75 go on. Pairs of sets
+   that the sketches hold whole are decided at once, and of the links among them only a spanning forest goes on.
 4. The whole sets decide. Each document is first held against its likeliest partner; components are formed, and then all
    other pairs that would join two components are decided, so no link between components is left out, and pairs
    inside a component cost nothing.
 5. Components of all links, by star steps (components.py).
 
 Defined results: null or empty texts, and texts without words, have the empty set, are linked with nothing and are kept; with
-fewer than five words the whole sequence is one shingle; rows with one doc_id are one node (should their texts differ, equal sets of
-each are folded, but the links of only one are looked for); a row whose doc_id is null
+fewer than five words the whole sequence is one shingle; rows with one doc_id are one node, which has the links of all
+its texts; a row whose doc_id is null
 can't be named by a link: its component is null, and it is kept; extra columns stay where rows are kept;
 an empty table gives an empty table.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import input_bytes, map_arrow, release, table, written
+from .common import fresh, input_bytes, map_arrow, release, table, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -41,6 +42,7 @@ SKETCH, KEYS, LISTS, BLOCK = 256, 24, 12, 512
 BROADCAST_IDS = 2_000_000
 #: Fills sketches of fewer values.
 _NONE = np.iinfo(np.int32).max
+_FILL = np.iinfo(np.int64).max
 
 
 def shingle_sets(col: pa.Array):
@@ -81,7 +83,7 @@ def _facts(batches):
             p1.append(p[0])
             p2.append(p[1])
             keys.append(s[:KEYS])
-            sketch.append((s[:SKETCH] >> 32).astype("<i4").tobytes())
+            sketch.append(s.astype("<i8").tobytes() if len(s) <= SKETCH else (s[:SKETCH] >> 32).astype("<i4").tobytes())
         arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "p1", "p2", "keys", "sketch"])
 
@@ -132,9 +134,9 @@ class Forest:
         return a != b
 
 
-def _evaluated(doc, n, value, keys, sketch, forest: Forest, i, j) -> pa.RecordBatch:
-    """The pairs (i, j) of rows that go on. Where both sketches are whole sets the estimate is no estimate: of such pairs only
-    those go on that join what others in this list have not, so a group of n documents gives n - 1 of them."""
+def _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest: Forest, i, j) -> pa.RecordBatch:
+    """The pairs (i, j) of rows that go on. Where both sketches are whole sets (rows whole_of of sets) they are decided here: of such pairs only
+    those go on that are links and join what others in this list have not, so a group of n documents gives n - 1 of them."""
     k = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
     i, j = i[k], j[k]
     x = np.sort(np.concatenate([keys[i], keys[j]], axis=1), axis=1)
@@ -143,7 +145,11 @@ def _evaluated(doc, n, value, keys, sketch, forest: Forest, i, j) -> pa.RecordBa
     est, least = _estimate(sketch[i], sketch[j], n[i], n[j])
     ok = est >= least
     whole = np.flatnonzero(ok & (n[i] <= SKETCH) & (n[j] <= SKETCH))
-    ok[whole] = [forest.joins(a, b) for a, b in zip(doc[i[whole]].tolist(), doc[j[whole]].tolist())]
+    if len(whole):
+        x = np.sort(np.concatenate([sets[whole_of[i[whole]]], sets[whole_of[j[whole]]]], axis=1), axis=1)
+        both = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _FILL)).sum(1)
+        link = 100 * both >= PERCENT * (n[i[whole]] + n[j[whole]] - both)
+        ok[whole] = [y and forest.joins(a, b) for y, a, b in zip(link.tolist(), doc[i[whole]].tolist(), doc[j[whole]].tolist())]
     i, j = i[ok], j[ok]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(est[ok])], ["a", "b", "est"])
 
@@ -162,9 +168,15 @@ def _candidates(batches):
         pad = keys == np.iinfo(np.int64).max
         keys = np.where(pad, np.iinfo(np.int64).max - np.arange(len(doc))[:, None] - 1, keys)
         sketch = np.full((len(doc), SKETCH), _NONE, np.int32)
+        whole_of = np.cumsum(n <= SKETCH) - 1
+        sets = np.full((int((n <= SKETCH).sum()), SKETCH), _FILL)
         for r, s in enumerate(t.column("sketch").to_pylist()):
-            got = np.frombuffer(s, "<i4")
-            sketch[r, : len(got)] = got
+            if n[r] <= SKETCH:
+                got = np.frombuffer(s, "<i8")
+                sets[whole_of[r], : len(got)] = got
+                sketch[r, : len(got)] = got >> 32
+            else:
+                sketch[r] = np.frombuffer(s, "<i4")
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         begin = np.append(np.flatnonzero(new), len(doc))
         some, m, forest = [], 0, Forest()
@@ -178,10 +190,10 @@ def _candidates(batches):
                 some.append((i[x : x + (1 << 14)], j[x : x + (1 << 14)]))
                 m += len(some[-1][0])
                 if m >= 1 << 13:
-                    yield _evaluated(doc, n, value, keys, sketch, forest, *map(np.concatenate, zip(*some)))
+                    yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest, *map(np.concatenate, zip(*some)))
                     some, m = [], 0
         if some:
-            yield _evaluated(doc, n, value, keys, sketch, forest, *map(np.concatenate, zip(*some)))
+            yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest, *map(np.concatenate, zip(*some)))
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -236,9 +248,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(map_arrow(docs, _facts, FACTS), "near-facts")
+    several = facts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("p1") < F.max("p1")).alias("several")).filter("several")
+    if not several.limit(1).count():
+        return _clusters(docs, facts)
+    # texts get ids of their own; what they link then links the doc_ids
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    renamed = docs.withColumn("doc_id", own)
+    found = _clusters(renamed, written(map_arrow(renamed, _facts, FACTS), "near-facts")).filter("doc_id IS NOT NULL").distinct()
+    found = written(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), own.alias("doc_id")).distinct().join(found, "doc_id").select("id", "component_id"), "near-texts")
+    least = found.groupBy("component_id").agg(F.min("id").alias("v"))
+    named = components(found.join(least, "component_id").select(F.col("id").alias("u"), "v").filter("u <> v").distinct())
+    return facts.select("doc_id", "n_shingles").join(named.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _clusters(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The same where rows of one doc_id have one set; facts are those of docs."""
+    spark = docs.sparkSession
     print_ = ["p1", "p2", "n_shingles"]
     reps = written(facts.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*print_).agg(F.min("doc_id").alias("rep")), "near-reps")
     pairs = candidate_pairs(facts, reps)
@@ -271,8 +298,9 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, that stay: one document of each component, the one with the least doc_id."""
-    gone = clusters(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    mark = fresh(docs)
+    gone = clusters(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
 
 
 OP5_SQL = r"""
