@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import state
+
+#: Actions of one entity that are folded at once.
+CHUNK = 512
 
 def first_of_each(log: DataFrame, *key: str, order: str = "pos") -> DataFrame:
     """The first record of each key, by aggregation: no sort of a hot key's records."""
@@ -43,15 +47,21 @@ def final_versions(log: DataFrame) -> DataFrame:
 
 
 def outcomes(log: DataFrame) -> DataFrame:
-    """entity, pos, accepted for every action."""
-    kind = "struct<v: bigint, done: array<struct<pos: bigint, accepted: boolean>>>"
-    zero = F.from_json(F.lit('{"v": 1, "done": []}'), kind)
+    """entity, pos, accepted for every action. The versions at the begin of chunks of the entity's actions come first, by a fold that keeps nothing else; each
+    chunk is then folded on its own, so the work stays linear in an entity's actions up to CHUNK^2 of them."""
+    kind = "struct<v: bigint, at: array<bigint>>"
+    chunk = F.transform(F.sequence(F.lit(0), F.floor((F.size("seq") - 1) / CHUNK).cast("int")), lambda k: F.slice("seq", k * CHUNK + 1, F.lit(CHUNK)))
+    chunks = _ordered(log).select("entity", chunk.alias("chunks"))
+    after = lambda v, seq: F.aggregate(seq, v, lambda a, x: F.when(x["captured"] == a, a + 1).otherwise(a))
+    starts = F.aggregate("chunks", F.from_json(F.lit('{"v": 1, "at": []}'), kind), lambda a, c: F.struct(after(a["v"], c).alias("v"), F.concat(a["at"], F.array(a["v"])).alias("at")))
+    each = chunks.select("entity", F.explode(F.arrays_zip(F.col("chunks"), starts["at"].alias("v"))).alias("c")).select("entity", F.col("c.chunks").alias("seq"), F.col("c.v").alias("v"))
 
     def step(a, x):
         ok = x["captured"] == a["v"]
         return F.struct(F.when(ok, a["v"] + 1).otherwise(a["v"]).alias("v"), F.concat(a["done"], F.array(F.struct(x["pos"].alias("pos"), ok.alias("accepted")))).alias("done"))
 
-    return _ordered(log).select("entity", F.explode(F.aggregate("seq", zero, step)["done"]).alias("o")).select("entity", "o.pos", "o.accepted")
+    zero = F.struct(F.col("v").alias("v"), F.array().cast("array<struct<pos: bigint, accepted: boolean>>").alias("done"))
+    return each.select("entity", F.explode(F.aggregate("seq", zero, step)["done"]).alias("o")).select("entity", "o.pos", "o.accepted")
 
 
 def validated_reads(reads: DataFrame, tables: DataFrame) -> DataFrame:
@@ -74,11 +84,30 @@ KINDS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 
 
+def _on_one(kind: str, s: state.State) -> dict:
+    """An action of the kind on namespace 1 or table 1, with the versions of s."""
+    v, t = s.version("ns", 1), s.version("tbl", 1)
+    made = {"version": 1, "namespace_id": 1, "namespace_version": v}
+    return {"kind": kind} | {
+        "create_namespace": {"id": 7, "version": 1, "parent_id": 1, "parent_version": v, "name": "x"}, "drop_namespace": {"id": 1, "version": v},
+        "set_property": {"namespace_id": 1, "namespace_version": v, "key": "k", "value": "v"}, "remove_property": {"namespace_id": 1, "namespace_version": v, "key": "k"},
+        "create_table": {"id": 8, "name": "y", "metadata_location": "l", **made}, "create_table_inline": {"id": 9, "name": "z", "metadata": b"{}", **made},
+        "drop_table": {"id": 1, "version": t}, "read_table": {"id": 1, "version": t},
+        "update_table": {"id": 1, "version": t, "metadata_location": "m"}, "update_table_inline": {"id": 1, "version": t, "metadata": b"{}"},
+    }[kind]
+
+
 def conflict_matrix(spark) -> DataFrame:
-    """For each ordered pair of kinds on one namespace and table: whether the second fails after the first. Ten kinds, so the pairs are a hundred rows."""
-    kinds = spark.createDataFrame([(k, list(w), list(n)) for k, w, n in KINDS], "kind string, writes array<string>, needs array<string>")
-    first, second = kinds.select(F.col("kind").alias("first"), "writes"), kinds.select(F.col("kind").alias("second"), "needs")
-    return first.crossJoin(F.broadcast(second)).select("first", "second", F.arrays_overlap("writes", "needs").alias("conflicts"))
+    """For each ordered pair of kinds on one namespace and table: whether the second, captured before the first, fails after it. The fold itself is asked, so
+    this is what replays do; ten kinds make a hundred rows."""
+    rows = []
+    for first, *_ in KINDS:
+        for second, *_ in KINDS:
+            s = state.State(namespaces={1: {"parent_id": 0, "name": "n", "version": 1}}, tables={1: state.Table(1, "t", 1, "l")})
+            a, b = _on_one(first, s), _on_one(second, s)
+            s.commit({"txn_id": "00000000-0000-0000-0000-000000000001", "actions": [a]})
+            rows.append((first, second, not s.holds(b)))
+    return spark.createDataFrame(rows, "first string, second string, conflicts boolean")
 
 
 def commit_modes(log: DataFrame, limit: int) -> DataFrame:

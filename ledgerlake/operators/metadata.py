@@ -34,6 +34,13 @@ def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return n.filter(F.col("_h").isNull() | ~F.col(value).eqNullSafe(F.col("_o"))).select(key, value)
 
 
+def list_changes(old: DataFrame, new: DataFrame, old_current: DataFrame, new_current: DataFrame) -> DataFrame:
+    """tbl_id, change, id: schemas, partition specs or sort orders (tbl_id, id) that are new, and the current one (tbl_id, id) where it has become another."""
+    adds = new.select("tbl_id", "id").join(old.select("tbl_id", "id"), ["tbl_id", "id"], "left_anti").select("tbl_id", F.lit("add").alias("change"), "id")
+    n = new_current.select("tbl_id", "id").join(old_current.select("tbl_id", F.col("id").alias("_was")), "tbl_id", "left")
+    return adds.unionByName(n.filter(~F.col("id").eqNullSafe(F.col("_was"))).select("tbl_id", F.lit("set").alias("change"), "id"))
+
+
 def differs(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: whether the sets differ, in which case a delta can't express the change."""
     odd = old.exceptAll(new).limit(1).unionByName(new.exceptAll(old).limit(1))

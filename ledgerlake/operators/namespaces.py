@@ -6,9 +6,13 @@ location), where a null location marks an inline table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 SEP = "."
 
 
@@ -43,9 +47,14 @@ def name_and_parent(p: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """df with `name`, from 1 in the given order. Numbers are dealt by prefix sums over ranges of the order, so the rows aren't sorted in one
     task; only a count for each range is."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    parts = max(1, spark.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # written once: both uses below must see the same ranges
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     sums = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_part", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"))

@@ -88,13 +88,44 @@ def mixed_modes(lists: DataFrame) -> DataFrame:
     return g.filter("mixed").select("tbl_id")
 
 
-def parent_manifests(of: DataFrame, refs: DataFrame) -> DataFrame:
-    """of(tbl_id, snapshot_id, parent_id, fallback_id): the references to begin with: the parent's, else those of the fallback."""
-    have = refs.select("tbl_id", "snapshot_id").distinct().withColumn("_has", F.lit(True))
-    p = of.join(have.withColumnRenamed("snapshot_id", "parent_id").withColumnRenamed("_has", "_hp"), ["tbl_id", "parent_id"], "left")
-    p = p.join(have.withColumnRenamed("snapshot_id", "fallback_id").withColumnRenamed("_has", "_hf"), ["tbl_id", "fallback_id"], "left")
-    base = F.coalesce(F.when(F.col("_hp"), F.col("parent_id")), F.when(F.col("_hf"), F.col("fallback_id")))
-    return p.select("tbl_id", "snapshot_id", base.alias("base_id"))
+def parent_manifests(of: DataFrame, new: DataFrame, current: DataFrame, pooled: DataFrame) -> DataFrame:
+    """of(tbl_id, snapshot_id, parent_id): where the manifests that a snapshot begins with are found. step 1: its parent is an inline snapshot of the new
+    metadata; 2: of the current metadata; 3: in the pool; 4: nowhere, or there is no parent, so it begins with none. The three relations have
+    (tbl_id, snapshot_id); base_id is the parent, or null at step 4."""
+    p = of.select("tbl_id", "snapshot_id", "parent_id")
+    for k, have in enumerate((new, current, pooled), 1):
+        p = p.join(have.select("tbl_id", F.col("snapshot_id").alias("parent_id"), F.lit(k).alias(f"_{k}")).distinct(), ["tbl_id", "parent_id"], "left")
+    step = F.coalesce("_1", "_2", "_3", F.lit(4))
+    return p.select("tbl_id", "snapshot_id", step.alias("step"), F.when(step < 4, F.col("parent_id")).alias("base_id"))
+
+
+def ancestors(snapshots: DataFrame) -> DataFrame:
+    """tbl_id, snapshot_id, at, back: every snapshot with each of its ancestors, itself included, and how far back that is. The jumps double with each round,
+    so a history of n snapshots takes log2(n) joins."""
+    jump = snapshots.filter("parent_id IS NOT NULL").select("tbl_id", F.col("snapshot_id").alias("at"), F.col("parent_id").alias("to"))
+    have, size = snapshots.select("tbl_id", "snapshot_id", F.col("snapshot_id").alias("at"), F.lit(0).alias("back")), 1
+    while jump.limit(1).count():
+        have = have.unionByName(have.join(jump, ["tbl_id", "at"]).select("tbl_id", "snapshot_id", F.col("to").alias("at"), (F.col("back") + size).alias("back")))
+        far = jump.select("tbl_id", F.col("at").alias("to"), F.col("to").alias("end"))
+        jump, size = jump.join(far, ["tbl_id", "to"]).select("tbl_id", "at", F.col("end").alias("to")), 2 * size
+    return have
+
+
+def carried_lists(manifests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """tbl_id, snapshot_id, ord, path: the ordered references of each snapshot, its parent's first and then its own new ones in order of path. Histories
+    branch: snapshots have parent_id. Each reference is handed down to each descendant, and no list is carried along."""
+    own = manifests.select("tbl_id", "snapshot_id", "path").distinct()
+    held = ancestors(snapshots).join(own.select("tbl_id", F.col("snapshot_id").alias("at"), "path"), ["tbl_id", "at"])
+    first = held.groupBy("tbl_id", "snapshot_id", "path").agg(F.max("back").alias("back"))  # the farthest ancestor added it
+    w = Window.partitionBy("tbl_id", "snapshot_id").orderBy(F.desc("back"), "path")
+    return first.select("tbl_id", "snapshot_id", (F.row_number().over(w) - 1).cast("long").alias("ord"), "path")
+
+
+def resolved_lists(refs: DataFrame, p: DataFrame) -> DataFrame:
+    """refs(tbl_id, snapshot_id, ord, path) as one row for each snapshot: the pool's entries in order of ord; what the pool lacks is skipped."""
+    r = refs.join(p.drop("first_seen"), ["tbl_id", "path"])
+    entry = F.struct("ord", "path", *[c for c in p.columns if c not in ("tbl_id", "path", "first_seen")])
+    return r.groupBy("tbl_id", "snapshot_id").agg(F.array_sort(F.collect_list(entry)).alias("manifests"))
 
 
 def bounds(manifests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec, state
 from ..functions.shipping import ship
 from ..sources.storage import shared_dir
 from ..operators import log, metadata, namespaces, pool
@@ -380,14 +381,71 @@ def mixed_mode(rel):
     return pool.mixed_modes(rel("snapshots").select("tbl_id", (F.col("operation") == "append").alias("is_inline")))
 
 
-@query("""+h AS (SELECT DISTINCT tbl_id, snapshot_id FROM manifests), s AS (SELECT *, first_value(snapshot_id) OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id) AS fallback_id FROM snapshots)
-SELECT s.tbl_id, s.snapshot_id, coalesce(p.snapshot_id, f.snapshot_id, -1) AS base_id FROM s LEFT JOIN h p ON p.tbl_id = s.tbl_id AND p.snapshot_id = s.parent_id
-  LEFT JOIN h f ON f.tbl_id = s.tbl_id AND f.snapshot_id = s.fallback_id""")
+@query("""SELECT tbl_id, snapshot_id, step, CASE WHEN step < 4 THEN parent_id ELSE -1 END AS base_id FROM (SELECT tbl_id, snapshot_id, parent_id,
+  CASE WHEN parent_id % 5 = 0 THEN 1 WHEN parent_id % 3 = 0 THEN 2 WHEN parent_id % 2 = 0 AND EXISTS (SELECT 1 FROM manifests m WHERE m.tbl_id = s.tbl_id AND m.snapshot_id = s.parent_id) THEN 3 ELSE 4 END AS step FROM snapshots s)""")
 def parent_manifests(rel):
+    s = rel("snapshots")
+    pooled = rel("manifests").filter("snapshot_id % 2 = 0")
+    return pool.parent_manifests(s, s.filter("snapshot_id % 5 = 0"), s.filter("snapshot_id % 3 = 0"), pooled).withColumn("base_id", F.coalesce("base_id", F.lit(-1)))
+
+
+#: The lists of a linear history: a path keeps the place that its first snapshot gave it.
+_LISTS = """+r AS (SELECT tbl_id, snapshot_id, row_number() OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id) AS rn FROM snapshots),
+f AS (SELECT m.tbl_id, path, min(rn) AS first FROM manifests m JOIN r ON r.tbl_id = m.tbl_id AND r.snapshot_id = m.snapshot_id GROUP BY m.tbl_id, path),
+l AS (SELECT r.tbl_id, r.snapshot_id, row_number() OVER (PARTITION BY r.tbl_id, r.snapshot_id ORDER BY first, path) - 1 AS ord, path FROM r JOIN f ON f.tbl_id = r.tbl_id AND first <= rn)
+"""
+
+
+@query(_LISTS + "SELECT * FROM l")
+def refs_carry_lists(rel):
+    return pool.carried_lists(rel("manifests"), rel("snapshots"))
+
+
+#: Branches: every snapshot's parent is the one that stands at half its place.
+_BRANCHES = """+r AS (SELECT tbl_id, snapshot_id, row_number() OVER (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id) AS rn FROM snapshots),
+b AS (SELECT r.tbl_id, r.snapshot_id, p.snapshot_id AS parent_id FROM r LEFT JOIN r p ON p.tbl_id = r.tbl_id AND p.rn = r.rn // 2),
+u(tbl_id, snapshot_id, anc, back) AS (SELECT tbl_id, snapshot_id, snapshot_id, 0 FROM b
+  UNION ALL SELECT u.tbl_id, u.snapshot_id, b.parent_id, back + 1 FROM u JOIN b ON b.tbl_id = u.tbl_id AND b.snapshot_id = u.anc WHERE b.parent_id IS NOT NULL),
+h AS (SELECT u.tbl_id, u.snapshot_id, path, max(back) AS back FROM u JOIN manifests m ON m.tbl_id = u.tbl_id AND m.snapshot_id = u.anc GROUP BY 1, 2, 3)
+"""
+
+
+@query(_BRANCHES + "SELECT tbl_id, snapshot_id, string_agg(path, ',' ORDER BY back DESC, path) AS paths FROM h GROUP BY tbl_id, snapshot_id")
+def refs_carry_branches(rel):
     from pyspark.sql import Window
 
-    of = rel("snapshots").withColumn("fallback_id", F.first("snapshot_id").over(Window.partitionBy("tbl_id").orderBy("ts_ms", "snapshot_id")))
-    return pool.parent_manifests(of, rel("manifests")).withColumn("base_id", F.coalesce("base_id", F.lit(-1)))
+    s = rel("snapshots").withColumn("rn", F.row_number().over(Window.partitionBy("tbl_id").orderBy("ts_ms", "snapshot_id")))
+    parent = s.select("tbl_id", F.col("rn").alias("half"), F.col("snapshot_id").alias("parent_id"))
+    of = s.select("tbl_id", "snapshot_id", F.expr("rn div 2").alias("half")).join(parent, ["tbl_id", "half"], "left")
+    lists = pool.carried_lists(rel("manifests"), of).groupBy("tbl_id", "snapshot_id").agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("l"))
+    return lists.select("tbl_id", "snapshot_id", F.array_join(F.col("l.path"), ",").alias("paths"))
+
+
+@query(_LISTS.rstrip() + """, p AS (SELECT tbl_id, path, arg_max(content, snapshot_id) AS content, arg_max(added_rows, snapshot_id) AS added_rows FROM manifests GROUP BY tbl_id, path)
+SELECT l.tbl_id, l.snapshot_id, string_agg(l.path || ':' || added_rows, ',' ORDER BY ord) AS manifests FROM l JOIN p ON p.tbl_id = l.tbl_id AND p.path = l.path WHERE content = 1 GROUP BY 1, 2""")
+def refs_resolve_ordered(rel):
+    r = pool.resolved_lists(pool.carried_lists(rel("manifests"), rel("snapshots")), _pool(rel).filter("content = 1"))
+    return r.select("tbl_id", "snapshot_id", F.array_join(F.transform("manifests", lambda m: F.concat(m["path"], F.lit(":"), m["added_rows"])), ",").alias("manifests"))
+
+
+_VERSIONS = """+o AS (SELECT id % 50 AS tbl_id, id FROM old_meta), n AS (SELECT id % 50 AS tbl_id, id FROM new_meta)
+SELECT tbl_id, 'add' AS change, id FROM n WHERE id NOT IN (SELECT id FROM o) UNION ALL
+SELECT n.tbl_id, 'set', n.id FROM (SELECT tbl_id, {0}(id) AS id FROM n GROUP BY tbl_id) n LEFT JOIN (SELECT tbl_id, {0}(id) AS id FROM o GROUP BY tbl_id) o ON o.tbl_id = n.tbl_id WHERE o.id IS DISTINCT FROM n.id"""
+
+
+def _list_changes(rel, which):
+    o, n = (rel(x).select((F.col("id") % 50).alias("tbl_id"), "id") for x in ("old_meta", "new_meta"))
+    return metadata.list_changes(o, n, *[x.groupBy("tbl_id").agg(which("id").alias("id")) for x in (o, n)])
+
+
+@query(_VERSIONS.format("max"))
+def schema_diff(rel):
+    return _list_changes(rel, F.max)
+
+
+@query(_VERSIONS.format("min"))
+def spec_diff(rel):
+    return _list_changes(rel, F.min)
 
 
 @query("SELECT tbl_id, min(lower_ms) AS lower_ms, max(upper_ms) AS upper_ms, count(*) AS n_manifests FROM manifests GROUP BY tbl_id")
@@ -402,8 +460,6 @@ def _as_text(df):
     """A lake for each namespace of the fixture: encoded as a file, read again and replayed."""
     import pandas as pd
 
-    from ..functions import codec, state
-
     def encode(batches):
         for b in batches:
             rows = []
@@ -429,7 +485,6 @@ def replay_files(rel):
 
     import pandas as pd
 
-    from ..functions import codec
     from ..operators import replay
 
     def encode(batches):
@@ -451,6 +506,214 @@ def replay_files(rel):
     return replay.replay_transactions(log_).select(F.col("lake").cast("long").alias("entity"), "version")
 
 
+def _files(df, build):
+    """df(lake, facts): a file for each lake, by build(lake, facts); facts are JSON."""
+    import json
+
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(x, build(x, json.loads(f))) for x, f in zip(b["lake"], b["facts"])], columns=["lake", "content"])
+
+    return df.select(F.col("lake").cast("string").alias("lake"), F.col("facts")).mapInPandas(run, "lake string, content binary")
+
+
+def _facts(df, by, *cols):
+    return df.groupBy(F.col(by).alias("lake")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*cols)))).alias("facts"))
+
+
+def _transaction(k, *actions):
+    import uuid
+
+    return codec.encode("Transaction", {"txn_id": str(uuid.UUID(int=k + 1)), "sealed": False, "actions": list(actions)})
+
+
+def _inline_table(i, name, metadata):
+    import json
+
+    return {"kind": "create_table_inline", "id": i, "version": 1, "namespace_id": 0, "namespace_version": -1, "name": name, "metadata": json.dumps(metadata).encode()}
+
+
+def _history_file(lake, facts):
+    """A table that is made empty, and a delta for each snapshot: the snapshot, the main branch, and its manifests."""
+    from itertools import groupby
+
+    records, clock = [_transaction(-1, _inline_table(1, "t", {"location": "l", "last-updated-ms": 0, "last-sequence-number": 0, "snapshots": []}))], 0
+    for k, ((ts, i), rows) in enumerate(groupby(facts, lambda r: (r["ts_ms"], r["snapshot_id"]))):
+        updates = [{"kind": "add_snapshot", "snapshot_id": i, "summary": {"operation": "append", "added-records": str(i)}, "timestamp_delta_ms": ts - clock}, {"kind": "set_ref", "name": "main", "snapshot_id": i, "type": "branch"}]
+        updates += [{"kind": "add_manifest", "snapshot_id": i, "manifest": {"path": r["path"], "length": k, "added_rows": r["added_rows"], "added_snapshot_id": i}} for r in rows]
+        records.append(_transaction(k, {"kind": "update_table_inline", "id": 1, "version": k + 1, "delta": codec.encode("Delta", {"updates": updates})}))
+        clock = ts
+    return codec.file_bytes(state.to_checkpoint(state.State()), *records)
+
+
+def _histories(rel, relation):
+    """Each table's snapshots with manifests, as deltas of a lake of its own, replayed."""
+    from ..operators import replay
+
+    m = rel("manifests").select("tbl_id", "snapshot_id", "path", "added_rows").join(rel("snapshots").select("tbl_id", "snapshot_id", "ts_ms"), ["tbl_id", "snapshot_id"])
+    return replay.replayed(_files(_facts(m, "tbl_id", "ts_ms", "snapshot_id", "path", "added_rows"), _history_file), relation)
+
+
+@query("""SELECT tbl_id, snapshot_id, coalesce(lag(snapshot_id) OVER w, -1) AS parent, row_number() OVER w AS sequence_number, ts_ms, 'inline://' || snapshot_id AS manifest_list
+FROM snapshots s WHERE EXISTS (SELECT 1 FROM manifests m WHERE m.tbl_id = s.tbl_id AND m.snapshot_id = s.snapshot_id) WINDOW w AS (PARTITION BY tbl_id ORDER BY ts_ms, snapshot_id)""")
+def inline_update_delta(rel):
+    """Snapshots as they come out of encoded deltas: numbers, parents, times and sentinels are derived."""
+    t = _histories(rel, "tables").withColumn("tbl_id", F.col("lake").cast("long"))
+    return metadata.snapshots_of(t).select("tbl_id", "snapshot_id", F.coalesce("parent_id", F.lit(-1)).alias("parent"), "sequence_number", "ts_ms", "manifest_list")
+
+
+@query(_LISTS + "SELECT l.* FROM l WHERE EXISTS (SELECT 1 FROM manifests m WHERE m.tbl_id = l.tbl_id AND m.snapshot_id = l.snapshot_id)")
+def inline_refs(rel):
+    """The ordered references of each snapshot, as encoded deltas leave them."""
+    return _histories(rel, "snapshot_refs").select(F.col("lake").cast("long").alias("tbl_id"), "snapshot_id", F.col("ord").cast("long").alias("ord"), "path")
+
+
+def _updates_file(lake, facts):
+    """For each id a table with the value that it had, and, where there is a new one, an update of the given form; a second update
+    with the version that the first has used up is rejected."""
+    import json
+
+    records = []
+    for k, r in enumerate(facts):
+        records.append(_transaction(3 * k, _inline_table(r["id"], f"t{r['id']}", {"location": r["old"], "properties": {"k": "v"}})))
+        if r.get("new") is not None:
+            form = {"metadata": json.dumps({"location": r["new"]}).encode()} if lake == "full" else {"metadata_location": r["new"]}
+            records.append(_transaction(3 * k + 1, {"kind": "update_table_inline", "id": r["id"], "version": 1, **form}))
+            records.append(_transaction(3 * k + 2, {"kind": "update_table_inline", "id": r["id"], "version": 1, "metadata": b'{"location": "late"}'}))
+    return codec.file_bytes(state.to_checkpoint(state.State()), *records)
+
+
+def _updated(rel, form):
+    from ..operators import replay
+
+    both = rel("old_meta").select("id", F.col("value").alias("old")).join(rel("new_meta").select("id", F.col("value").alias("new")), "id", "left")
+    return replay.replayed(_files(_facts(both.withColumn("form", F.lit(form)), "form", "id", "old", "new"), _updates_file), "tables")
+
+
+@query("SELECT o.id, CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS version, coalesce(n.value, o.value) AS location, n.id IS NULL AS has_properties FROM old_meta o LEFT JOIN new_meta n ON n.id = o.id")
+def inline_update_full(rel):
+    t = _updated(rel, "full")
+    return t.select(F.col("tbl_id").cast("long").alias("id"), "version", F.get_json_object("metadata", "$.location").alias("location"), F.get_json_object("metadata", "$.properties").isNotNull().alias("has_properties"))
+
+
+@query("SELECT o.id, CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS version, n.value AS location, n.id IS NULL AS is_inline FROM old_meta o LEFT JOIN new_meta n ON n.id = o.id")
+def inline_update_pointer(rel):
+    t = _updated(rel, "pointer")
+    return t.select(F.col("tbl_id").cast("long").alias("id"), "version", "location", F.col("metadata").isNotNull().alias("is_inline"))
+
+
+def _checkpoint_file(lake, facts):
+    """A checkpoint alone: an inline table with its pool and references, a pointer table, namespaces, properties and a committed transaction."""
+    import uuid
+
+    s = state.State(committed={str(uuid.UUID(int=int(lake))): None}, namespaces={5: {"parent_id": 0, "name": f"n{lake}", "version": 3}}, properties={5: {"a": lake, "b": ""}})
+    t = state.Table(5, "t", 4, None, b"{}", "m")
+    for r in facts:
+        t.pool.setdefault(r["path"], {"path": r["path"], "length": r["lower_ms"], "content": r["content"], "added_rows": r["added_rows"], "partitions": [{"contains_null": True, "lower_bound": b"a", "upper_bound": b"z"}]})
+        t.refs.setdefault(r["snapshot_id"], []).append(r["path"])
+    s.tables = {2: t, 9: state.Table(0, "p", 7, f"s3://{lake}")}
+    return codec.file_bytes(state.to_checkpoint(s))
+
+
+def _checkpoints(rel, relation):
+    from ..operators import replay
+
+    return replay.replayed(_files(_facts(rel("manifests"), "tbl_id", "snapshot_id", "path", "content", "added_rows", "lower_ms"), _checkpoint_file), relation)
+
+
+@query("""+q AS (SELECT tbl_id, path, min(snapshot_id) AS first, arg_min(added_rows, snapshot_id) AS added_rows, arg_min(content, snapshot_id) AS content, arg_min(lower_ms, snapshot_id) AS length FROM manifests GROUP BY tbl_id, path)
+SELECT tbl_id, row_number() OVER (PARTITION BY tbl_id ORDER BY first, path) - 1 AS pool_idx, path, length, content, added_rows FROM q""")
+def checkpoint_roundtrip(rel):
+    """The pool of an encoded checkpoint, whose paths lose and regain the prefix, and whose references are places."""
+    return _checkpoints(rel, "manifest_pool").select(F.col("lake").cast("long").alias("tbl_id"), F.col("pool_idx").cast("long").alias("pool_idx"), "path", "length", "content", "added_rows")
+
+
+@query("SELECT tbl_id, snapshot_id, row_number() OVER (PARTITION BY tbl_id, snapshot_id ORDER BY path) - 1 AS ord, path FROM manifests")
+def checkpoint_refs(rel):
+    return _checkpoints(rel, "snapshot_refs").select(F.col("lake").cast("long").alias("tbl_id"), "snapshot_id", F.col("ord").cast("long").alias("ord"), "path")
+
+
+@query("""+t AS (SELECT DISTINCT tbl_id FROM manifests)
+SELECT tbl_id, 'table' AS what, '2,5,t,4,inline' AS value FROM t UNION ALL SELECT tbl_id, 'table', '9,0,p,7,s3://' || tbl_id FROM t
+UNION ALL SELECT tbl_id, 'property', '5,a,' || tbl_id FROM t UNION ALL SELECT tbl_id, 'property', '5,b,' FROM t
+UNION ALL SELECT tbl_id, 'namespace', '5,0,n' || tbl_id || ',3' FROM t UNION ALL SELECT tbl_id, 'lake', '6,10,false' FROM t""")
+def checkpoint_entities(rel):
+    """Tables of both kinds, properties, namespaces and counters of an encoded checkpoint."""
+    joined = lambda *c: F.concat_ws(",", *[F.coalesce(F.col(x).cast("string"), F.lit("inline")) for x in c])
+    parts = [("tables", "table", ("tbl_id", "ns_id", "name", "version", "location")), ("properties", "property", ("ns_id", "key", "value")), ("namespaces", "namespace", ("ns_id", "parent_id", "name", "version")), ("lakes", "lake", ("next_ns_id", "next_tbl_id", "sealed"))]
+    out = [_checkpoints(rel, r).select(F.col("lake").cast("long").alias("tbl_id"), F.lit(w).alias("what"), joined(*c).alias("value")) for r, w, c in parts]
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _metadata_pair(r):
+    i, old = r["id"], {"location": "l", "properties": {"k": r["old"], "gone": "x"}, "schemas": [{"schema-id": 0}], "current-schema-id": 0, "last-column-id": 1, "partition-specs": [{"spec-id": 0}], "default-spec-id": 0, "last-partition-id": 1, "sort-orders": [{"order-id": 0}], "default-sort-order-id": 0}
+    new = dict(old, properties={"k": r["new"]})
+    if i % 2 == 0:
+        new |= {"schemas": [{"schema-id": 0}, {"schema-id": 1, "n": i}], "current-schema-id": 1, "last-column-id": 2}
+    if i % 3 == 0:
+        new |= {"partition-specs": [{"spec-id": 0}, {"spec-id": 1}], "default-spec-id": 1, "last-partition-id": 2}
+    if i % 4 == 0:
+        new |= {"sort-orders": [{"order-id": 0}, {"order-id": 1}], "default-sort-order-id": 1}
+    return old, new | ({"location": "m"} if i % 11 == 0 else {}) | ({"statistics": [i]} if i % 13 == 0 else {})
+
+
+@query("""SELECT o.id, CASE WHEN o.id % 13 = 0 THEN 'none' ELSE concat_ws(',', CASE WHEN o.id % 2 = 0 THEN 'add_schema,set_schema' END, CASE WHEN o.id % 3 = 0 THEN 'add_spec,set_spec' END,
+  CASE WHEN o.id % 4 = 0 THEN 'add_order,set_order' END, 'set_properties', CASE WHEN o.id % 11 = 0 THEN 'set_location' END) END AS updates, o.id % 13 <> 0 AS same
+FROM old_meta o JOIN new_meta n ON n.id = o.id""")
+def delta_roundtrip(rel):
+    """Differences of whole metadata as encoded deltas, applied to the old metadata again; changed statistics have no delta."""
+    import pandas as pd
+
+    from ..functions import table_metadata
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, o, n in zip(b["id"], b["old"], b["new"]):
+                old, new = _metadata_pair({"id": int(i), "old": o, "new": n})
+                updates = table_metadata.difference(old, new)
+                again = None if updates is None else table_metadata.apply(old, codec.decode("Delta", codec.encode("Delta", {"updates": updates}))["updates"])
+                rows.append((int(i), "none" if updates is None else ",".join(u["kind"] for u in updates), again == new))
+            yield pd.DataFrame(rows, columns=["id", "updates", "same"])
+
+    both = rel("old_meta").select("id", F.col("value").alias("old")).join(rel("new_meta").select("id", F.col("value").alias("new")), "id")
+    return both.mapInPandas(run, "id long, updates string, same boolean")
+
+
+def _actions_file(lake, facts):
+    """All ten kinds and an unknown one, in several transactions, some of which are rejected."""
+    n = {"namespace_id": 1}
+    logs = [
+        [{"kind": "create_namespace", "id": 1, "version": 1, "parent_id": 0, "parent_version": -1, "name": facts[0]["name"]}, {"kind": "create_namespace", "id": 2, "version": 1, "parent_id": 1, "parent_version": -1, "name": "b"}],
+        [{"kind": "set_property", **n, "namespace_version": 2, "key": "k", "value": "v"}, {"kind": "set_property", **n, "namespace_version": 2, "key": "gone", "value": "w"}],
+        [{"kind": "remove_property", **n, "namespace_version": 4, "key": "gone"}, {"kind": "unknown", "number": 77, "raw": b"later"}],
+        [{"kind": "create_table", "id": 1, "version": 1, **n, "namespace_version": 5, "name": "p", "metadata_location": "l1"}, {"kind": "create_table", "id": 2, "version": 1, **n, "namespace_version": 5, "name": "q", "metadata_location": "l2"}, {"kind": "create_table_inline", "id": 3, "version": 1, **n, "namespace_version": 5, "name": "i", "metadata": b"{}"}],
+        [{"kind": "read_table", "id": 2, "version": 1}, {"kind": "update_table", "id": 1, "version": 1, "metadata_location": "l3"}],
+        [{"kind": "read_table", "id": 1, "version": 1}, {"kind": "drop_table", "id": 3, "version": 1}],
+        [{"kind": "update_table_inline", "id": 3, "version": 1, "metadata": b'{"location": "x"}'}, {"kind": "drop_table", "id": 2, "version": 1}, {"kind": "drop_table", "id": 2, "version": 1}],
+        [{"kind": "drop_namespace", "id": 2, "version": 1}],
+        [{"kind": "drop_namespace", "id": 1, "version": 3}],
+    ]
+    return codec.file_bytes(state.to_checkpoint(state.State()), *[_transaction(k, *x) for k, x in enumerate(logs)])
+
+
+@query("""SELECT s_suppkey AS id, 'table' AS what, v AS value FROM supplier, (SELECT unnest(['1,p,2,l3', '3,i,2,inline']) AS v) UNION ALL SELECT s_suppkey, 'namespace', '1,' || s_name || ',10' FROM supplier
+UNION ALL SELECT s_suppkey, 'property', 'k=v' FROM supplier UNION ALL SELECT s_suppkey, 'committed', '7' FROM supplier""")
+def all_actions(rel):
+    """Every kind of action through bytes and the fold: what is left of each lake, and how many transactions were accepted."""
+    from ..operators import replay
+
+    files = _files(_facts(rel("tables").filter("location IS NULL").withColumn("id", F.col("tbl_id") - 10_000_000), "id", "name"), _actions_file)
+    of = lambda r, w, c: replay.replayed(files, r).select(F.col("lake").cast("long").alias("id"), F.lit(w).alias("what"), c.alias("value"))
+    out = of("tables", "table", F.concat_ws(",", "tbl_id", "name", "version", F.coalesce("location", F.lit("inline"))))
+    out = out.unionByName(of("namespaces", "namespace", F.concat_ws(",", "ns_id", "name", "version"))).unionByName(of("properties", "property", F.concat_ws("=", "key", "value")))
+    return out.unionByName(replay.replayed(files, "committed").groupBy(F.col("lake").cast("long").alias("id")).agg(F.count("*").cast("string").alias("value")).select("id", F.lit("committed").alias("what"), "value"))
+
+
 @query("SELECT ns_id, parent_id, name, 1 + (SELECT count(*) FROM namespaces c WHERE c.parent_id = n.ns_id)::INTEGER AS version FROM namespaces n")
 def commit_reload(rel):
     """The fixture's namespaces committed in transactions of at most BATCH of one depth, with a log of at most 7 records, and read back from the file."""
@@ -458,7 +721,6 @@ def commit_reload(rel):
     import os
     import uuid
 
-    from ..functions import state
     from ..lake import Lake, Options
     from ..operators.replay import RELATIONS, rows_of
     from ..sources.storage import HadoopStore
