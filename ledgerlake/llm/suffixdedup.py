@@ -105,7 +105,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs with the repeated bytes taken out of their text. Cuts may fall inside a character; what is left of it is replaced by U+FFFD."""
     out = f"{fresh(docs)}cut"
     d = removed(docs, doc_id, text, out=out)
-    return d.select(*[F.when(F.col(text).isNotNull(), F.decode(f"{out}.kept", "UTF-8")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return d.select(*[F.when(F.col(text).isNotNull(), F.make_valid_utf8(F.col(f"{out}.kept").cast("string"))).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token ids of whole documents, in files of separately compressed documents.
 
-Tokenizing: a tokenizer that drops white space gives the same ids for the words between it as for the whole
+Tokenizing: a tokenizer that drops white space, as its file says (`words_apart`), gives the same ids for the words between it as for the whole
 text, so each distinct word that a worker meets goes through the tokenizers library once, many at a time, and the
 ids of the texts are put together by array operations. Other tokenizers encode whole texts.
 
@@ -9,7 +9,7 @@ Files: a Parquet table of blocks in ascending order of doc_id, which any store t
 offsets, and `payload`: for each document a zstandard frame of its own, made with the shared dictionary,
 over the ids as little-endian integers of 2 bytes (4 if the vocabulary has over 65,536 ids). A document is
 read by its offset, without the rest of its block. The dictionary is a table of one row next to the blocks
-and is trained on at most SAMPLE_DOCS documents' first SAMPLE_BYTES bytes of ids, so its making doesn't grow with the
+and is trained on slices of at most SAMPLE_BYTES bytes, from anywhere in the ids of at most 2 * SAMPLE_DOCS documents, so its making doesn't grow with the
 input and neither do results depend on it. The index has the token count before each part and block.
 
 Defined results: null and empty texts have the end id only; repeated doc_ids are documents of their own, next to each
@@ -19,6 +19,8 @@ other; null doc_ids come first; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +41,24 @@ _MARK = ""
 _loaded: dict[str, Encoder] = {}
 
 
+#: Alternatives of a split by a regular expression that can't match white space: contractions, letters or digits, and what is neither these nor white space.
+_NO_SPACE = re.compile(r"'[a-z]+|\[(\\p\{[LN]\})+\]\+?|\[\^\\s(\\p\{[LN]\})*\]\+?")
+
+
+def words_apart(path: str) -> bool:
+    """Whether the file says that white space parts words and is dropped: no step of its normalizer reaches over white space (composed letters never contain
+    it), its first split keeps only what can't contain any, and no added token does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    normal = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} for n in steps(spec["normalizer"], "normalizers"))
+    first, *rest = [*steps(spec["pre_tokenizer"], "pretokenizers"), {}]
+    split = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and all(map(_NO_SPACE.fullmatch, first["pattern"].get("Regex", " ").split("|")))
+    plain = all(r.get("type", "ByteLevel") == "ByteLevel" and not r.get("add_prefix_space") and not r.get("use_regex") for r in rest)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    return normal and split and plain and added
+
+
 class Encoder:
     """A tokenizer file with ids for batches of texts."""
 
@@ -49,10 +69,8 @@ class Encoder:
         self._forget()
         self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         mark = self.tok.encode(_MARK, add_special_tokens=False).ids
-        probe = ["of a", " x\n", "l'été 12", "á ́b", "<|endoftext|> <|x", "'s 's don't ​ ok"]
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        pieces = lambda t: [i for w in t.split(" ") for i in ids(w)]
-        self.mark = np.array(mark) if mark and all(ids(t) == pieces(t) for t in probe) and ids(f"a {_MARK} b") == ids("a") + mark + ids("b") else None
+        self.mark = np.array(mark) if mark and words_apart(path) and ids(f"a {_MARK} b") == ids("a") + mark + ids("b") else None
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,6 +165,12 @@ def _serial(ids: np.ndarray, width: int) -> bytes:
     return ids.astype(f"<u{width}").tobytes()
 
 
+def _slice(b: bytes, width: int) -> bytes:
+    """SAMPLE_BYTES of b, from a place that its checksum gives."""
+    at = zlib.crc32(b) % (max(0, len(b) - SAMPLE_BYTES) // width + 1) * width
+    return b[at : at + SAMPLE_BYTES]
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A zstandard dictionary from a bounded sample of documents; empty if there are too few for one."""
     import zstandard
@@ -157,7 +181,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     def sample(batches):
         for b in batches:
             e = encoder(path, end_id)
-            out = [_serial(ids[a:z], e.width)[:SAMPLE_BYTES] for _, ids, to in e.encode(b.column(0)) for a, z in zip(to[:-1], to[1:])]
+            out = [_slice(_serial(ids[a:z], e.width), e.width) for _, ids, to in e.encode(b.column(0)) for a, z in zip(to[:-1], to[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).alias("text")).limit(2 * SAMPLE_DOCS)
