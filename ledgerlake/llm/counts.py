@@ -3,7 +3,7 @@
 The vocabulary is a trie over bytes. Each node has a failure link and the number of tokens that are popped when it
 is followed (both worked out once, in order of depth), so a word's greedy longest-match length is found by one walk
 over its bytes, however the pieces overlap. All distinct words of a batch walk the automaton in step, one
-byte at a time, as array operations; a word that has ended leaves the walk.
+byte at a time, as array operations; a word that has ended leaves the walk. Words of over LONG bytes walk by themselves.
 
 Vocabularies: a tokenizers file (.json), whose pieces may stand anywhere in a word (word-end marks are dropped and
 byte-level letters are turned into their bytes), or a word-piece list (.txt), one piece in a line, where
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import scan
 from .common import map_arrow, table
 
+#: Bytes from which on a word walks by itself: few words are as long, and in step each byte of the longest costs a round.
+LONG = 4096
 _loaded: dict[str, Automaton] = {}
 
 
@@ -86,9 +88,8 @@ class Automaton:
                 z = fail[z]
             if z >= 0:
                 fail[v], popped[v] = child[z][c], k
-        edges = sorted((v * 256 + c, x) for v in range(n) for c, x in child[v].items())
-        self.keys = np.array([k for k, _ in edges] or [-1], np.int64)
-        self.to = np.array([x for _, x in edges] or [0], np.int64)
+        edges = [(v * 256 + c, x) for v in range(n) for c, x in child[v].items()]
+        self._hash(np.array([k for k, _ in edges], np.int64), np.array([x for _, x in edges], np.int64))
         self.fail, self.popped = np.array(fail), np.array([len(x) for x in popped])
         self.pops = np.array([x for p in popped for x in p] or [0])
         self.first_pop = np.cumsum(self.popped) - self.popped
@@ -99,10 +100,36 @@ class Automaton:
             root = self.child[root][c]
         return root
 
+    def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Edges in a table of open addresses, half of them free."""
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.key, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.key[at] < 0
+            self.key[at[free]] = keys[left[free]]  # of several with one address the last has it
+            placed = self.key[at] == keys[left]
+            self.to[at[placed]] = to[left[placed]]
+            left = left[~placed]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = node * 256 + byte
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.to[at], self.keys[at] == key
+        at = self._slot(key)
+        have = self.key[at]
+        ok = have == key
+        left = np.flatnonzero(~ok & (have >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            have = self.key[at[left]]
+            ok[left] = have == key[left]
+            left = left[~ok[left] & (have >= 0)]
+        return self.to[at], ok
 
     def segments(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The trie nodes of the pieces of all words, one word after another, and how many each word has (0 where no pieces cover it)."""
@@ -120,6 +147,9 @@ class Automaton:
     def lengths(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, falls: list | None = None) -> np.ndarray:
         """Tokens of each word, -1 where no pieces cover it. falls: gets the words and nodes of each step along failure links."""
         size = end - start
+        long = np.flatnonzero(size > LONG)
+        walked = [self._walk(bytes(buf[start[k] : end[k]])) for k in long.tolist()]
+        size = np.where(size > LONG, 0, size)
         order = np.argsort(-size, kind="stable")
         left = np.sort(size)[::-1]
         node, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
@@ -147,8 +177,35 @@ class Automaton:
         while len(rest):
             rest = fall(rest)
             rest = rest[node[rest] > 1]
+        for k, (n, nodes) in zip(long.tolist(), walked):
+            count[k] = n
+            if falls is not None and nodes:
+                falls.append((np.full(len(nodes), k), np.array(nodes)))
         return np.where(dead, -1, count)
 
+    def _walk(self, word: bytes) -> tuple[int, list[int]]:
+        """The same for one word, byte by byte."""
+        node, count, nodes = 0, 0, []
+
+        def fall() -> bool:
+            nonlocal node, count
+            f = int(self.fail[node])
+            if f >= 0:
+                count += int(self.popped[node])
+                nodes.append(node)
+                node = f
+            return f >= 0
+
+        for c in word:
+            while (nxt := self.child[node].get(c)) is None:
+                if not fall():
+                    return -1, nodes
+            node = nxt
+        while node > 1:
+            if not fall():
+                return -1, nodes
+        return count, nodes
+
 
 def automaton(path: str) -> Automaton:
     """One for each worker."""

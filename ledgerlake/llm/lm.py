@@ -1,23 +1,22 @@
 """Language-model scores: a causal self-attention model over subword ids, and a unigram base over words.
 
-Texts are lower-cased in A-Z and parted into words by white space. Subwords are the greedy longest matches among the first
-PIECES entries of a public vocabulary (which holds every single byte), with a mark on the last of each word; a document ends
-with a token of its own.
+Texts are lower-cased in A-Z and parted into words by white space. Subwords are the greedy longest matches among all pieces of a
+public vocabulary (which holds every single byte), with a mark on the last of each word; a document ends with a token of its own.
 
 One pass over the texts writes, in the shared folder, each document's ids, each batch's words with their postings, and its
-subword counts. From these: the counts of all words and subwords in all training documents; the classes of subwords
-(for the start and the inside of words apart; the SINGLE most frequent subwords have one each, the others share the rest by mass,
-and a subword has its counted share of its class);
-and the model, which gives the probability of the next subword's class. It is trained in ROUNDS rounds. In each, every task walks over every
-ROUNDS-th window of all training documents, beginning with the same parameters, and the parameters are averaged by the
-number of targets. The rounds together walk over every window once, and every window of half-overlapping context scores
-each token once.
+subword counts. From these: the counts of all words and subwords in all training documents, and the model (attention.py), which
+gives the probability of each next subword. Subwords that no training document has share the probability that smoothing leaves them.
+
+Training goes in rounds, each of which has its share of every document's windows; the rounds together have every window once.
+In a round every task begins with the same parameters and walks over its windows; the tasks' parameters are then averaged, and their counts
+summed. Tasks have TASK_TOKENS or more, so `score` depends on how the documents are dealt to files and tasks; for the same deal it
+is the same. Windows of overlapping context score each token once.
 
 Postings are cut to at most CHUNK places, so a word in all documents is many rows, which a skewed join splits.
 
 Defined results: null and empty texts have the end only; rows are documents of their own, repeated ones too; a null doc_id is scored and is a
 training document (its crc32 is null); extra columns are ignored; an empty table gives an empty table. Without training
-documents all counts are 0 and the model is uniform over classes.
+documents all counts are 0 and the model is uniform over subwords.
 """
 
 from __future__ import annotations
@@ -33,11 +32,14 @@ from . import attention, scan
 from .common import map_arrow, release, shared_path, table, written
 from .counts import Automaton, _letter_bytes
 
-PIECES, LAST, END, CODES = 32_768, 32_768, 32_767, 65_536
-SINGLE, BUCKETS = 40, 1024
-CHUNK, GROUP_BYTES = 4096, 8 << 20
-ROUNDS, BATCH, RATE = 2, 64, 0.01
-PARTS = "doc_id long, held boolean, block long, idx int, n_words long, ids binary, hash long, cnt long, postings binary"
+#: The mark of a word's last subword, beside the piece's number; the piece that stands for a document's end.
+LAST, END, CODES = 1 << 16, (1 << 16) - 1, 1 << 17
+CHUNK, GROUP_BYTES, GROUP_ROWS = 4096, 8 << 20, 1 << 16
+#: Each round's windows, by the remainder of their number.
+ROUNDS = ((0, 1), (1, 4), (4, 16), (16, 32))
+TASK_TOKENS, BLOB = 8_000_000, 1 << 13
+BATCH = attention.Trainer.BATCH
+PARTS = "doc_id long, held boolean, block long, idx int, n_words long, ids binary, ends binary, hash long, cnt long, postings binary"
 _loaded: dict[str, tuple[Automaton, np.ndarray]] = {}
 
 
@@ -47,8 +49,10 @@ def subwords(path: str) -> tuple[Automaton, np.ndarray]:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         of, end = _letter_bytes(), model.get("end_of_word_suffix") or ""
-        bare = {p.removesuffix(end) if end else p for p, i in model["vocab"].items() if i < PIECES}
-        found = sorted({bytes(of[c] for c in p) for p in bare if p and all(c in of for c in p)} | {bytes([b]) for b in range(256)})[: END - 1]
+        bare = {p.removesuffix(end) if end else p for p in model["vocab"]}
+        found = sorted({bytes(of[c] for c in p) for p in bare if p and all(c in of for c in p)} | {bytes([b]) for b in range(256)})
+        if len(found) > END:
+            raise ValueError(f"{path} has over {END} pieces")
         auto = Automaton(found, found)
         number = np.zeros(len(auto.fail), np.int64)
         for k, p in enumerate(found):
@@ -57,9 +61,23 @@ def subwords(path: str) -> tuple[Automaton, np.ndarray]:
     return _loaded[path]
 
 
-def codes_of(auto: Automaton, number: np.ndarray, buf, start, end, h):
+def pieces_of(path: str) -> int:
+    return int(subwords(path)[1].max()) + 1
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word among the distinct ones, where each of these is first, and an order that brings equal words together."""
+    back = pa.array(h).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    first = np.empty(int(back.max(initial=-1)) + 1, np.int64)
+    first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+    order = np.argsort((back & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(first) > 1 << 16:
+        order = order[np.argsort((back >> 16).astype(np.uint16)[order], kind="stable")]
+    return back, first, order
+
+
+def codes_of(auto: Automaton, number: np.ndarray, buf, start, end, first, back):
     """The codes of all words one after another, and how many each has; distinct words are looked at once."""
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
     nodes, n = auto.segments(buf, start[first], end[first])
     flat = number[nodes]
     stop = np.cumsum(n)
@@ -68,10 +86,38 @@ def codes_of(auto: Automaton, number: np.ndarray, buf, start, end, h):
     return flat[np.repeat((stop - n)[back] - np.cumsum(m) + m, m) + np.arange(m.sum())], m
 
 
-def inside(ids: np.ndarray) -> np.ndarray:
-    """1 where a code continues a word, 0 where a word or a document's end is to begin."""
-    before = np.concatenate([[END], ids[:-1].astype(np.int64)])
-    return ((before < LAST) & (before != END)).astype(np.int64)
+def _binaries(at: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def frames(codes: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Documents' codes as binary columns: pieces as little-endian integers of two bytes, and the marks as bits."""
+    stop = np.cumsum(size)
+    room = -(-size // 8)
+    bits = np.zeros(int(8 * room.sum()), bool)
+    bits[np.arange(len(codes)) + np.repeat(8 * (np.cumsum(room) - room) - (stop - size), size)] = codes >= LAST
+    return _binaries(np.concatenate([[0], 2 * stop]), (codes & 0xFFFF).astype("<u2")), _binaries(np.concatenate([[0], np.cumsum(room)]), np.packbits(bits))
+
+
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each value begins."""
+    col = col.cast(pa.large_binary())
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None and col.buffers()[2].size else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def documents(ids: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The way back from `frames`: all codes, and where each document begins."""
+    pieces, at = _bytes(ids)
+    bits, _ = _bytes(ends)
+    at = at // 2
+    size = np.diff(at)
+    room = -(-size // 8)
+    flag = np.unpackbits(bits)[np.arange(at[-1]) + np.repeat(8 * (np.cumsum(room) - room) - at[:-1], size)]
+    return pieces.view("<u2") + (flag.astype(np.int32) << 16), at
 
 
 def _parts(vocabulary: str):
@@ -80,36 +126,34 @@ def _parts(vocabulary: str):
 
         auto, number = subwords(vocabulary)
         block = TaskContext.get().partitionId() << 24
-        counts = np.zeros(2 * CODES, np.int64)
+        counts = np.zeros(CODES, np.int64)
         for b in batches:
             buf, at = scan.column_bytes(b.column("text"))
             held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in scan.groups(at, GROUP_BYTES):
+            for lo, hi in scan.groups(at, GROUP_BYTES, GROUP_ROWS):
                 part, to = scan.LOWER[buf[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
                 start, end, owner = scan.words(part, to, scan.SPACED)
                 h = scan.span_hashes(part, start, end).view(np.int64)
+                back, first, order = distinct(h)
                 n, train = scan.counts_in(owner, hi - lo), ~held[lo:hi]
-                # ids, with the end, as little-endian integers of two bytes
-                ids, m = codes_of(auto, number, part, start, end, h)
+                codes, m = codes_of(auto, number, part, start, end, first, back)
                 size = np.bincount(owner, m, hi - lo).astype(np.int64) + 1
                 stop = np.cumsum(size)
-                whole = np.full(stop[-1], END, np.int64)
+                whole = np.full(stop[-1], END + LAST, np.int32)
                 is_end = np.zeros(stop[-1], bool)
                 is_end[stop - 1] = True
-                whole[~is_end] = ids
-                counts += np.bincount((whole + CODES * inside(whole))[np.repeat(train, size)], minlength=2 * CODES)
-                frames = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(np.concatenate([[0], 2 * stop]).astype(np.int64)), pa.py_buffer(whole.astype("<u2").tobytes())])
-                yield _rows(hi - lo, kind=1, doc_id=b.column("doc_id").slice(lo, hi - lo), held=held[lo:hi], block=np.full(hi - lo, block), idx=np.arange(hi - lo, dtype=np.int32), n_words=n, ids=frames.cast(pa.binary()))
-                # postings: the documents of each word in order, cut to chunks
-                order = np.argsort(h, kind="stable")
-                hs, ds = h[order], owner[order]
-                new = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
-                run = np.arange(len(hs)) - np.repeat(new, np.diff(np.append(new, len(hs))))
+                whole[~is_end] = codes
+                counts += np.bincount(whole[np.repeat(train, size)], minlength=CODES)
+                ids, ends = frames(whole, size)
+                yield _rows(hi - lo, kind=1, doc_id=b.column("doc_id").slice(lo, hi - lo), held=held[lo:hi], block=np.full(hi - lo, block), idx=np.arange(hi - lo, dtype=np.int32), n_words=n, ids=ids, ends=ends)
+                # postings: the documents of each word, cut to chunks
+                ws, ds = back[order], owner[order]
+                new = np.flatnonzero(np.concatenate([[True], ws[1:] != ws[:-1]])) if len(ws) else np.zeros(0, np.int64)
+                run = np.arange(len(ws)) - np.repeat(new, np.diff(np.append(new, len(ws))))
                 cut = np.flatnonzero(run % CHUNK == 0)
-                upto = np.append(cut, len(hs))
+                upto = np.append(cut, len(ws))
                 in_train = np.concatenate([[0], np.cumsum(train[ds])])
-                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer((2 * upto).astype(np.int64)), pa.py_buffer(ds.astype("<u2").tobytes())])
-                yield _rows(len(cut), kind=0, block=np.full(len(cut), block), hash=hs[cut], cnt=in_train[upto[1:]] - in_train[upto[:-1]], postings=lists.cast(pa.binary()))
+                yield _rows(len(cut), kind=0, block=np.full(len(cut), block), hash=h[first[ws[cut]]], cnt=in_train[upto[1:]] - in_train[upto[:-1]], postings=_binaries(2 * upto, ds.astype("<u2")))
                 block += 1
         k = np.flatnonzero(counts)
         yield _rows(len(k), kind=2, hash=k, cnt=counts[k])
@@ -117,7 +161,7 @@ def _parts(vocabulary: str):
     return parts
 
 
-_FIELDS = [("doc_id", pa.int64()), ("held", pa.bool_()), ("block", pa.int64()), ("idx", pa.int32()), ("n_words", pa.int64()), ("ids", pa.binary()), ("hash", pa.int64()), ("cnt", pa.int64()), ("postings", pa.binary()), ("kind", pa.int32())]
+_FIELDS = [("doc_id", pa.int64()), ("held", pa.bool_()), ("block", pa.int64()), ("idx", pa.int32()), ("n_words", pa.int64()), ("ids", pa.binary()), ("ends", pa.binary()), ("hash", pa.int64()), ("cnt", pa.int64()), ("postings", pa.binary()), ("kind", pa.int32())]
 
 
 def _rows(n: int, kind: int, **cols) -> pa.RecordBatch:
@@ -126,101 +170,96 @@ def _rows(n: int, kind: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [c for c, _ in _FIELDS])
 
 
-class Classes:
-    """What the counts of the codes give, for the start and the inside of words apart: the class of each code and its
-    share (natural logarithm) of it; and the input bucket of each code."""
-
-    def __init__(self, counts: np.ndarray):
-        cls, share, prior = [], [], []
-        for of in counts.reshape(2, CODES):
-            order = np.argsort(-of, kind="stable")
-            mass = (of[order] + 1.0) / (of.sum() + CODES)
-            c, p = np.empty(CODES, np.int64), np.empty(CODES)
-            rest = np.cumsum(mass[SINGLE:])
-            c[order[:SINGLE]] = np.arange(SINGLE)
-            c[order[SINGLE:]] = SINGLE + np.minimum((rest / rest[-1] * (attention.CLASSES - SINGLE)).astype(np.int64), attention.CLASSES - SINGLE - 1)
-            p[order] = mass
-            sums = np.bincount(c, p, attention.CLASSES) + 1e-12
-            cls.append(c)
-            share.append(np.log(p / sums[c]).astype(np.float32))
-            prior.append(sums)
-        self.cls, self.share, self.prior = np.concatenate(cls), np.concatenate(share), np.stack(prior)
-        both = counts.reshape(2, CODES).sum(0)
-        bucket = BUCKETS + np.where(both > 0, self.cls[:CODES], 0) + attention.CLASSES * (np.arange(CODES) >= LAST)
-        bucket[np.argsort(-both, kind="stable")[:BUCKETS]] = np.arange(BUCKETS)
-        self.begin = BUCKETS + 2 * attention.CLASSES  # the bucket before a document begins
-        self.bucket, self.buckets = bucket, self.begin + 1
-
-    def arrays(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each code its bucket, state, class and share; one more at the end, for places beyond a document."""
-        ids = ids.astype(np.int64)
-        state = inside(ids)
-        at = ids + CODES * state
-        return np.append(self.bucket[ids], self.begin), np.append(state, 0), np.append(self.cls[at], 0), np.append(self.share[at], 0)
-
-
-def _documents(col: pa.Array):
-    """All ids of the binary column, one after another, and where each document begins."""
-    col = col.cast(pa.large_binary())
-    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
-    ids = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u2") if len(col) else np.zeros(0, "<u2")
-    return ids, (at - at[0]) // 2
+class Vocabulary:
+    """The codes that training documents have, as rows; `prior` is their frequency, and in a last row that of each other code."""
 
+    def __init__(self, counts: np.ndarray, possible: int):
+        seen = np.flatnonzero(counts)
+        self.row = np.full(CODES, len(seen), np.int32)
+        self.row[seen] = np.arange(len(seen))
+        self.prior = np.append(counts[seen] + 1.0, 1.0) / (counts.sum() + possible)
+        self.last = np.append(seen >= LAST, False)
 
-def trained(docs: DataFrame, classes: Classes) -> attention.Params:
-    spark = docs.sparkSession
-    p = attention.fresh(classes.buckets, classes.prior)
-    names = list(p)
-    size = sum(v.size for v in p.values())
-    for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((p, classes))
-
-        def train(batches, sent=sent, turn=turn):
-            p, c = sent.value
-            adam, seen = attention.Adam(p, RATE), 0
-            for b in batches:
-                ids, at = _documents(b.column("ids"))
-                idx = b.column("idx").to_numpy()
-                for lo, hi in scan.groups(at, 1 << 18):
-                    to = at[lo : hi + 1]
-                    x, y, doc, number = attention.windows(to - to[0])
-                    k = np.flatnonzero((number + idx[lo:hi][doc] + turn) % ROUNDS == 0)
-                    buckets, state, cls, _ = c.arrays(ids[to[0] : to[-1]])
-                    for s in range(0, len(k), BATCH):
-                        w = k[s : s + BATCH]
-                        adam.step(attention.gradients(adam.p, buckets[x[w]], state[y[w]], cls[y[w]], y[w] >= 0))
-                        seen += int((y[w] >= 0).sum())
-            if seen:
-                flat = np.concatenate([adam.p[k].ravel() for k in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["k", "v", "n"])
-
-        rows = map_arrow(docs.filter("not held").select("ids", "idx"), train, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        if len(rows) != size:
+
+def _deal(col_ids: pa.Array, col_ends: pa.Array, vocabulary: Vocabulary, most: int):
+    """Groups of documents: the first and the last, and their windows."""
+    codes, at = documents(col_ids, col_ends)
+    for lo, hi in scan.groups(at, most):
+        yield lo, hi, *attention.padded(vocabulary.row[codes[at[lo] : at[hi]]], np.diff(at[lo : hi + 1]))
+
+
+def _trainer(sent, turn: int):
+    first, stop = ROUNDS[turn]
+    period, rate = ROUNDS[-1][1], 1 - 0.9 * first / ROUNDS[-1][1]
+
+    def train(batches):
+        p, vocabulary = sent.value
+        t = attention.Trainer(p, vocabulary.prior, turn == 0)
+        for b in batches:
+            idx = b.column("idx").to_numpy()
+            for lo, _, rows, start, doc in _deal(b.column("ids"), b.column("ends"), vocabulary, 1 << 18):
+                begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                number = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
+                turn_of = (number + idx[lo + doc]) % period
+                k = start[(turn_of >= first) & (turn_of < stop)]
+                for s in range(0, len(k), t.BATCH):
+                    t.step(rows[k[s : s + t.BATCH]], rate)
+        if t.seen:
+            flat = t.packed()
+            for c in range(0, len(flat), BLOB):
+                yield pa.RecordBatch.from_arrays([pa.array([c // BLOB]), pa.array([flat[c : c + BLOB].tobytes()], pa.binary())], ["c", "v"])
+
+    return train
+
+
+def _added(batches):
+    """Rows (c, v) of one partition, which has all rows of its c: the sums of the vectors, which go on as they came."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, v in zip(b.column("c").to_pylist(), b.column("v")):
+            got = np.frombuffer(v.as_buffer(), np.float32)
+            if c in sums:
+                sums[c] += got
+            else:
+                sums[c] = got.astype(np.float64)
+    for c, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["c", "v"])
+
+
+def trained(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> attention.Params:
+    """docs(idx, ids, ends) of the training documents, and how many tokens they have. The driver sees one model at a time, whose size the vocabulary bounds."""
+    p = attention.fresh(vocabulary.prior, vocabulary.last)
+    tasks = max(1, tokens // TASK_TOKENS)
+    for turn in range(len(ROUNDS)):
+        sent = docs.sparkSession.sparkContext.broadcast((p, vocabulary))
+        deltas = map_arrow(docs.select("idx", "ids", "ends").coalesce(tasks), _trainer(sent, turn), "c long, v binary")
+        rows = map_arrow(deltas.repartition(64, "c"), _added, "c long, v binary").collect()
+        if not rows:
             break
-        flat = np.zeros(size)
-        for r in rows:
-            flat[r["k"]] = r["v"]
-        upto = np.cumsum([0, *(v.size for v in p.values())])
-        p = {k: flat[a:b].reshape(p[k].shape).astype(np.float32) for k, a, b in zip(names, upto[:-1], upto[1:])}
+        total = np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(rows, key=lambda r: r["c"])])
+        p = attention.unpacked(total, p, 1e5 if turn + 1 < len(ROUNDS) else float("inf"))
+        sent.destroy()
+        del deltas, rows
+        release(docs.sparkSession)
     return p
 
 
-def _scored(sent):
+def scored(p: attention.Params, theta: np.ndarray, vocabulary: Vocabulary, ids: pa.Array, ends: pa.Array) -> np.ndarray:
+    """log10 probability of each document."""
+    out = np.zeros(len(ids))
+    for lo, hi, rows, start, doc in _deal(ids, ends, vocabulary, 1 << 17):
+        for s in range(0, len(start), BATCH):
+            got = attention.log_probs(p, theta, rows[start[s : s + BATCH]]).sum(1, dtype=np.float64)
+            out[lo:hi] += np.bincount(doc[s : s + BATCH], got, hi - lo)
+    return out / np.log(10)
+
+
+def _scorer(sent):
     def score(batches):
-        p, c = sent.value
+        p, vocabulary = sent.value
+        theta = attention.parts(p["counts"], vocabulary.prior)
         for b in batches:
-            ids, at = _documents(b.column("ids"))
-            out = np.zeros(b.num_rows)
-            for lo, hi in scan.groups(at, 1 << 17):
-                to = at[lo : hi + 1] - at[lo]
-                x, y, doc, _ = attention.windows(to)
-                buckets, state, cls, share = c.arrays(ids[at[lo] : at[hi]])
-                for s in range(0, len(x), 512):
-                    t = y[s : s + 512]
-                    got = attention.log_probs(p, buckets[x[s : s + 512]], state[t], cls[t]) + share[t]
-                    got = np.where(y[s : s + 512] >= 0, got, 0).sum(1, dtype=np.float64)
-                    out[lo:hi] += np.bincount(doc[s : s + 512], got, hi - lo)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("idx"), pa.array(out / np.log(10))], ["block", "idx", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("idx"), pa.array(scored(p, theta, vocabulary, b.column("ids"), b.column("ends")))], ["block", "idx", "score"])
 
     return score
 
@@ -255,13 +294,13 @@ def scores(docs: DataFrame, vocabulary: str, held_out) -> DataFrame:
     n_words, v_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     ends = texts.filter("not held").count()
     total, distinct = n_words + ends, v_words + (ends > 0)
-    code_counts = np.zeros(2 * CODES, np.int64)
-    for r in part(2).groupBy("hash").agg(F.sum("cnt").alias("n")).collect():  # at most 2 * CODES rows
+    code_counts = np.zeros(CODES, np.int64)
+    for r in part(2).groupBy("hash").agg(F.sum("cnt").alias("n")).collect():  # at most CODES rows
         code_counts[r["hash"]] = r["n"]
     release(spark)
-    classes = Classes(code_counts)
-    sent = spark.sparkContext.broadcast((trained(texts, classes), classes))
-    lm = written(map_arrow(texts.select("block", "idx", "ids"), _scored(sent), "block long, idx int, score double"), "lm-scores")
+    codes = Vocabulary(code_counts, 2 * pieces_of(vocabulary) + 1)
+    sent = spark.sparkContext.broadcast((trained(texts.filter("not held"), codes, int(code_counts.sum())), codes))
+    lm = written(map_arrow(texts.select("block", "idx", "ids", "ends"), _scorer(sent), "block long, idx int, score double"), "lm-scores")
     sums = map_arrow(part(0).select("hash", "block", "postings").join(words, "hash").select("block", "postings", "c"), _sums, "block long, idx int, lg double, known long")
     sums = sums.groupBy("block", "idx").agg(F.sum("lg").alias("lg"), F.sum("known").alias("known"))
     per = texts.select("doc_id", "held", "block", "idx", "n_words").join(sums, ["block", "idx"], "left").join(lm, ["block", "idx"])

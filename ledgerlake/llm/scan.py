@@ -58,11 +58,11 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def groups(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most so many bytes together, or one longer text."""
+def groups(at: np.ndarray, most: int, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many texts, and of at most so many bytes together, or one longer text."""
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1), lo + rows)
         yield lo, hi
         lo = hi
 
