@@ -134,10 +134,12 @@ class Forest:
         return a != b
 
 
-def _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest: Forest, i, j) -> pa.RecordBatch:
+def _evaluated(doc, n, value, keys, sketch, whole_of, sets, label, forest: Forest, i, j) -> pa.RecordBatch:
     """The pairs (i, j) of rows that go on. Where both sketches are whole sets (rows whole_of of sets) they are decided here: of such pairs only
-    those go on that are links and join what others in this list have not, so a group of n documents gives n - 1 of them."""
+    those go on that are links and join what others in this list have not, so a group of n documents gives n - 1 of them. label: the forest's set of
+    each row, as of the pairs before these."""
     k = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
+    k &= (label[i] != label[j]) | (n[i] > SKETCH) | (n[j] > SKETCH)  # what is joined already needs no look
     i, j = i[k], j[k]
     x = np.sort(np.concatenate([keys[i], keys[j]], axis=1), axis=1)
     earlier = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] < value[i][:, None])).any(1)
@@ -150,6 +152,8 @@ def _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest: Forest, i, j
         both = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] != _FILL)).sum(1)
         link = 100 * both >= PERCENT * (n[i[whole]] + n[j[whole]] - both)
         ok[whole] = [y and forest.joins(a, b) for y, a, b in zip(link.tolist(), doc[i[whole]].tolist(), doc[j[whole]].tolist())]
+        if ok[whole].any():
+            label[:] = [forest.find(d) for d in doc.tolist()]
     i, j = i[ok], j[ok]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(est[ok])], ["a", "b", "est"])
 
@@ -179,7 +183,7 @@ def _candidates(batches):
                 sketch[r] = np.frombuffer(s, "<i4")
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         begin = np.append(np.flatnonzero(new), len(doc))
-        some, m, forest = [], 0, Forest()
+        some, m, forest, label = [], 0, Forest(), doc.copy()
         for lo, hi in zip(begin[:-1], begin[1:]):
             if hi - lo < 2:
                 continue
@@ -190,10 +194,10 @@ def _candidates(batches):
                 some.append((i[x : x + (1 << 14)], j[x : x + (1 << 14)]))
                 m += len(some[-1][0])
                 if m >= 1 << 13:
-                    yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest, *map(np.concatenate, zip(*some)))
+                    yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, label, forest, *map(np.concatenate, zip(*some)))
                     some, m = [], 0
         if some:
-            yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, forest, *map(np.concatenate, zip(*some)))
+            yield _evaluated(doc, n, value, keys, sketch, whole_of, sets, label, forest, *map(np.concatenate, zip(*some)))
 
     for b in batches:
         t = pa.Table.from_batches([b])
