@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh, input_bytes, table, written
+from .common import WHITE, fresh, table, written
 
 LEVELS, ROUNDS = 6, 5
 GRID = 1 << LEVELS
@@ -125,14 +125,12 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text:
 
 
 def repeated(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", target_entropy: float = 0.95, max_repeats: float = 2.0, seed: int = 0) -> DataFrame:
-    """docs as the mixture reads them, with the columns of docs. A row's place in its epoch, as a share of its source's documents, gives the slice of the epoch
-    that it goes to, so each slice mixes the sources by their weights, and within a partition rows stand in the order of slices and places."""
+    """docs as the mixture reads them, with the columns of docs. The join that repeats the rows deals them by the hash of source and doc_id, so every partition
+    has its share of every source (where the reads are so few that Spark broadcasts them, rows stay in the partitions of docs); within a partition, epochs follow each other, and in an epoch rows stand in the order of their places, as shares
+    of their source's documents, which interleaves the sources by their weights."""
     mark = fresh(docs)
     r = _joined(docs, _reads(docs, source, doc_id, text, target_entropy, max_repeats, seed), source, doc_id, mark)
-    parts = max(12, input_bytes(docs) // (16 << 20))
-    at = (F.col(f"{mark}place") + 0.5) / F.col(f"{mark}of")
-    r = r.withColumns({f"{mark}at": at, f"{mark}slice": F.floor(at * parts)})
-    r = r.repartition(parts, f"{mark}epoch", f"{mark}slice").sortWithinPartitions(f"{mark}epoch", f"{mark}slice", f"{mark}at", doc_id)
+    r = r.withColumn(f"{mark}at", (F.col(f"{mark}place") + 0.5) / F.col(f"{mark}of")).sortWithinPartitions(f"{mark}epoch", f"{mark}at", doc_id)
     return r.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
