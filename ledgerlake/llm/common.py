@@ -22,8 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: What an application has written in the shared folder and not removed.
+_made: dict[str, set[str]] = {}
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -36,12 +42,23 @@ def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return back
 
 
+def _removed(spark: SparkSession, paths) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for p in list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _made.get(spark.sparkContext.applicationId, set()).discard(p)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _removed(t.sparkSession, [t._written_at])
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove everything that the operators have written in this application. Their results are read from it, so they must have been read or written elsewhere."""
+    _removed(spark, _made.get(spark.sparkContext.applicationId, ()))
 
 
 def release(spark: SparkSession) -> None:
