@@ -16,7 +16,7 @@ from ledgerlake.llm import attention, chat, counts, decontam, lines, lm, mixing,
 from . import brute
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
-CLASH = ["key", "doc", "p", "s", "_lines", "_kept", "_tokens", "n_words", "_qn_words", "_words", "_spans", "_items", "_cut", "value", "_s", "_gone", "lang", "source"]
+CLASH = ["key", "doc", "p", "s", "_lines", "_kept", "_tokens", "n_words", "_qn_words", "_words", "_spans", "_items", "_cut", "value", "_s", "_gone", "lang", "source", "_id", "_copies", "_cs", "_places", "_doc", "_qfailure_bits", "_tokens_", "__spans", "t"]
 
 
 def _texts():
@@ -127,6 +127,26 @@ def test_tokens(spark, docs, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["ids"]) for r in some) == sorted((i, s, x) for (i, _), s, x in zip(rows, starts, ids) if i in (30, 1001))
 
 
+def test_words_apart(tmp_path):
+    import json
+
+    assert tokens.words_apart(VOCAB) and not tokens.words_apart(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(VOCAB, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] = {}
+    for change in (
+        lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[\p{L}]+|\s+"),
+        lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"),
+        lambda s: s["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+        lambda s: s["added_tokens"][0].update(lstrip=True),
+        lambda s: s["normalizer"]["normalizers"].append({"type": "Strip"}),
+    ):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        assert not tokens.words_apart(str(tmp_path / "t.json"))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_of_any_tokenizer(name):
     from tokenizers import Tokenizer
@@ -159,21 +179,67 @@ def test_near_duplicates(docs):
     same(c, ["doc_id", "n_shingles", "component_id", "kept"], brute.near(ROWS))
 
 
-@pytest.mark.parametrize("sketch,block", [(256, 512), (256, 7), (64, 7)])
-def test_near_duplicates_of_dense_groups(spark, monkeypatch, sketch, block):
-    """Lists of many blocks, with sketches that hold sets whole and with estimates."""
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_of_dense_groups(spark, monkeypatch, block):
+    """Lists of many blocks."""
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "SKETCH", sketch)
     rng = random.Random(11)
     base = [f"w{rng.randrange(4000)}" for _ in range(150)]
     rows = [(k, " ".join(f"x{rng.randrange(99)}" if rng.random() < 0.03 else w for w in base)) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.clusters(df)
-    if sketch == 64:  # workers take the module as it is, so only the driver's side of the change counts
-        assert got.count() == len(rows)
     same(got, ["doc_id", "component_id"], [(i, c) for i, _, c, _ in brute.near(rows)])
 
 
+def test_near_duplicates_of_long_documents(spark):
+    """Sets of over SKETCH shingles: pairs on both sides of the limit, most of them close to it."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [f"v{rng.randrange(20_000)}" for _ in range(rng.randint(500, 900))]
+        edits = round(len(base) * rng.choice([0.01, 0.025, 0.028, 0.03, 0.033, 0.04]))
+        copy = list(base)
+        for x in rng.sample(range(len(base)), edits):
+            copy[x] = f"z{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    want = brute.near(rows)
+    linked = sum(not x[-1] for x in want)
+    assert 15 < linked < 55
+    same(neardup.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), ["doc_id", "n_shingles", "component_id"], [w[:3] for w in want])
+
+
+def test_near_duplicates_of_several_texts_of_one_id(spark):
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(500)}" for _ in range(40)]
+    a, b, c = text(), text(), text()
+    near_a = [*a[:38], "x", "y"]
+    rows = [(9, a), (9, b), (4, near_a), (4, []), (7, [*b, "z"]), (3, c), (None, a), (5, text()), (5, text()), (6, []), (2, c[:30])]
+    rows = [(i, " ".join(w) if w else None) for i, w in rows]
+    c = neardup.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    same(c, ["doc_id", "n_shingles", "component_id", "kept"], brute.near(rows))
+
+
+def test_line_runs_close_keys_and_merge(spark, monkeypatch):
+    """Seven batches: levels of runs, keys closed before the last batch, counts that only the merged runs reach."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    runs, total = lines.LineRuns(spark, 4), Counter()
+    for _ in range(7):
+        batch = [k for k in range(30) for _ in range(rng.choice([0, 0, 1, 1, 5]) if k < 20 else k == 25)]
+        total.update(batch)
+        runs.add(spark.createDataFrame([(bytearray([k]),) for k in batch], "key binary"))
+        assert all(len(level) < 2 for level in runs.levels)
+    assert {r["key"][0] for r in runs.common().collect()} == {k for k, n in total.items() if n >= 4}
+    runs.close()
+
+
+@pytest.mark.parametrize("hot", [10_000, 3, 1])
+def test_hot_lines(docs, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
+    test_lines(docs, 3)
+
+
 def test_quality(docs):
     led = quality.ledger(docs)
     got = led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("failure_bits", quality.BASE)).alias("b"), quality.passes("failure_bits").alias("k"))
@@ -187,62 +253,177 @@ def test_quality(docs):
 def test_lm_counts(spark, sf):
     got = lm.op7_lm(spark, sf[0]).collect()
     want = brute.unigrams(ROWS)
-    assert sorted(repr((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"])) for r in got) == sorted(repr(w[:5]) for w in want)
-    assert sum(r["base_score"] for r in got) == pytest.approx(sum(w[5] for w in want))
-    assert all(r["score"] < 0 for r in got)
+    key = lambda r: (repr(r[0]), *r[1:])
+    pairs = list(zip(sorted(got, key=lambda r: key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"]))), sorted(want, key=lambda w: key((*w[:4], w[5])))))
+    for r, w in pairs:
+        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:5] and r["base_score"] == pytest.approx(w[5], rel=1e-9)
+    assert len(got) == len(want) and all(r["score"] < 0 for r in got)
+
+
+def _tiny_vocabulary(n=11):
+    counts = np.zeros(lm.CODES, np.int64)
+    counts[: n - 1] = np.arange(1, n)
+    counts[lm.LAST + 3] = 5
+    return lm.Vocabulary(counts, 100)
+
+
+def _tiny_model(seed=0):
+    v, rng = _tiny_vocabulary(), np.random.default_rng(seed)
+    p = attention.fresh(v.prior, v.last)
+    p = {k: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) if k != "counts" else x for k, x in p.items()}
+    return v, p, attention.parts(p["counts"], v.prior)
+
+
+def _plain_score(p, theta, row, codes):
+    """One document's log10 probability, token by token and place by place."""
+    def link(x):
+        bits = min(max(float(attention._SCALE) * x + float(attention._ONE), float(attention._LOW)), float(attention._HIGH))
+        e = int(bits) >> 23
+        return 2.0 ** (e - 127) * (1 + (int(bits) - (e << 23)) / (1 << 23))
+
+    f = {k: x.astype(float) for k, x in p.items()}
+    h, begin = attention.HEAD, len(theta)
+    ids = [int(row[c]) for c in codes]
+    at = lambda k: f["embed"][ids[k] if k >= 0 else begin]
+    total = 0.0
+    for t, y in enumerate(ids):
+        first = t // attention.TARGETS * attention.TARGETS - attention.BEFORE - 1  # of the window
+        q = at(t - 1) @ f["qkv"][:, :h]
+        keys = range(first, t)
+        w = [link(q @ (at(k) @ f["qkv"][:, h : 2 * h]) + f["near"][t - 1 - k]) for k in keys]
+        mixed = sum(x * (at(k) @ f["qkv"][:, 2 * h :]) for x, k in zip(w, keys)) / sum(w)
+        z = [link(x) for x in (at(t - 1) + mixed @ f["o"]) @ f["u"] + f["b"]]
+        total += np.log10(sum(a * b for a, b in zip(z, theta[y].astype(float))) / sum(z))
+    return total
+
+
+def test_lm_scores_are_those_of_a_plain_forward():
+    v, p, theta = _tiny_model()
+    rng = np.random.default_rng(2)
+    docs = [rng.choice([0, 1, 2, 5, 9, lm.LAST + 3, 77, lm.LAST + 9], n) for n in (1, 2, 24, 25, 70)]
+    ids, ends = lm.frames(np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs]))
+    codes, at = lm.documents(ids, ends)
+    assert [codes[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [d.tolist() for d in docs]
+    got = lm.scored(p, theta, v, ids, ends)
+    assert got.tolist() == pytest.approx([_plain_score(p, theta, v.row, d) for d in docs], rel=1e-5)
+
+
+def test_lm_scores_of_the_query_are_the_models(spark, monkeypatch):
+    """What Spark writes for each document is the plain score of its codes."""
+    kept = {}
+
+    def fixed(docs, vocabulary, tokens):
+        p = attention.fresh(vocabulary.prior, vocabulary.last)
+        kept.update(p=p, v=vocabulary)
+        return p
+
+    monkeypatch.setattr(lm, "trained", fixed)
+    texts = ["The the of", "", None, "x" * 40 + " of of The"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.scores(df, VOCAB, F.col("doc_id") == 3).collect()}
+    auto, number = lm.subwords(VOCAB)
+    theta = attention.parts(kept["p"]["counts"], kept["v"].prior)
+    for k, t in enumerate(texts):
+        codes = []
+        for w in brute.WORD.findall((t or "").translate(brute.LOWER)):
+            b = np.frombuffer(w.encode(), np.uint8)
+            nodes, _ = auto.segments(b, np.array([0]), np.array([len(b)]))
+            codes += number[nodes].tolist()
+            codes[-1] += lm.LAST
+        assert got[k] == pytest.approx(_plain_score(kept["p"], theta, kept["v"].row, [*codes, lm.END + lm.LAST]), rel=1e-5)
 
 
 def test_lm_probabilities_sum_to_one():
-    n = np.zeros(2 * lm.CODES, np.int64)
-    n[[5, 70, lm.CODES + 9]] = [10, 3, 2]
-    c = lm.Classes(n)
-    for f in (0, 1):
-        sums = np.bincount(c.cls[f * lm.CODES : (f + 1) * lm.CODES], np.exp(c.share[f * lm.CODES : (f + 1) * lm.CODES].astype(float)), attention.CLASSES)
-        assert np.allclose(sums[sums > 0], 1, atol=1e-3)
-    p = attention.fresh(c.buckets, c.prior)
+    v, p, theta = _tiny_model()
+    unseen = 100 - (len(theta) - 1)
+    assert np.allclose(theta[:-1].sum(0) + unseen * theta[-1], 1, atol=1e-5)
     rng = np.random.default_rng(0)
-    x, f = rng.integers(0, c.buckets, (3, 32)), rng.integers(0, 2, (3, 16))
-    total = sum(np.exp(attention.log_probs(p, x, f, np.full((3, 16), k))) for k in range(attention.CLASSES))
-    assert np.allclose(total, 1, atol=1e-4)
-
-
-def test_lm_trains_on_every_window(spark):
-    """Document k has code k only; documents of one window and of several all move their codes."""
-    c = lm.Classes(np.ones(2 * lm.CODES, np.int64))
-    rows = [(False, k, bytearray(np.full(5 if k % 2 else 40, k, "<u2").tobytes())) for k in range(24)]
-    p = lm.trained(spark.createDataFrame(rows, "held boolean, idx int, ids binary").coalesce(1), c)
-    was = attention.fresh(c.buckets, c.prior)
-    assert [k for k in range(24) if (p["embed"][c.bucket[k]] == was["embed"][c.bucket[k]]).all()] == []
-
-
-def test_lm_gradients_and_causality():
+    row = rng.integers(0, len(theta), (1, attention.SPAN + 1)).astype(np.int32)
+    total = 0.0
+    for y in range(len(theta)):
+        row[0, -1] = y
+        total += np.exp(attention.log_probs(p, theta, row)[0, -1]) * (1 if y < len(theta) - 1 else unseen)
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_trains_on_every_window_once():
+    assert sorted(k for lo, hi in lm.ROUNDS for k in range(lo, hi)) == list(range(lm.ROUNDS[-1][1]))
+    v, p, _ = _tiny_model()
+    sizes = [1, 5, 24, 25, 900, 3000]
+    ids, ends = lm.frames(np.arange(sum(sizes), dtype=np.int32) % 9, np.array(sizes))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes), dtype=np.int32)), ids, ends], ["idx", "ids", "ends"])
+
+    class Sent:
+        value = (p, v)
+
+    seen = 0
+    for turn in range(len(lm.ROUNDS)):
+        out = list(lm._added(lm._trainer(Sent, turn)([batch])))
+        seen += sum(np.frombuffer(b.column("v")[0].as_py(), np.float32)[0] for b in out if b.column("c")[0].as_py() == 0)
+    assert seen == sum(sizes)
+
+
+def test_lm_rounds_average_tasks():
+    v, p, _ = _tiny_model()
+    rows, start, _ = attention.padded(np.arange(600, dtype=np.int32) % 9, np.array([600]))
+    tasks = []
+    for k in range(2):
+        t = attention.Trainer(p, v.prior, False)
+        t.step(rows[start[k::2]], 1.0)
+        tasks.append(t)
+    new = attention.unpacked(sum(t.packed() for t in tasks), p, float("inf"))
+    assert np.allclose(new["u"], sum(t.p["u"] * t.seen for t in tasks) / 600, atol=1e-5)
+    assert np.allclose(new["embed"][10], p["embed"][10])  # of a token that no task has seen
+    assert np.allclose(new["counts"], sum(t.p["counts"] for t in tasks), rtol=1e-4)
+
+
+def test_lm_learns():
+    """A text of one repeated pattern is predicted far better than by its tokens' frequencies."""
+    v, _, _ = _tiny_model()
+    p = attention.fresh(v.prior, v.last)
+    rows, start, _ = attention.padded(np.tile(np.arange(8, dtype=np.int32), 3000), np.array([24_000]))
+    t = attention.Trainer(p, v.prior, True)
+    for s in range(0, len(start), 64):
+        t.step(rows[start[s : s + 64]], 1.0)
+    got = attention.log_probs(t.p, attention.parts(t.p["counts"], v.prior), rows[start[:50]]).mean()
+    assert got > -1.2 > np.log(1 / 8)
+
+
+def test_lm_gradients_and_causality(monkeypatch):
+    """Against finite differences, with the exact exponential in place of the linear pieces."""
+    monkeypatch.setattr(attention, "_exp", lambda bits: np.exp((np.clip(bits, attention._LOW, attention._HIGH).astype(np.float64) - attention._ONE) / attention._SCALE).astype(np.float32))
+    v, p, theta = _tiny_model(4)
     rng = np.random.default_rng(1)
-    p = attention.fresh(40, np.full((2, attention.CLASSES), 1 / attention.CLASSES))
-    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in p.items()}
-    x, f, y, w = rng.integers(0, 40, (2, 32)), rng.integers(0, 2, (2, 16)), rng.integers(0, attention.CLASSES, (2, 16)), rng.random((2, 16)) < 0.8
-    loss = lambda: -(attention.log_probs(p, x, f, y) * w).sum() / w.sum()
-    d = attention.gradients(p, x, f, y, w)
-    for k, v in p.items():
-        at = tuple(rng.integers(0, n) for n in v.shape) if k != "embed" else (x[0, 20], 3)
-        was, e = v[at], 1e-4
-        v[at] = was + e
+    rows = rng.integers(0, 10, (3, attention.SPAN + 1)).astype(np.int32)
+    rows[1, 20:] = -1
+    loss = lambda: -attention.log_probs(p, theta, rows).sum(dtype=np.float64)
+    d, (key, g, _), _, n = attention.gradients(p, theta, rows)
+    assert n == (rows[:, attention.BEFORE + 1 :] >= 0).sum()
+    d["embed"] = np.zeros_like(p["embed"])
+    d["embed"][key] = g
+    for k in d:
+        at = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
+        was, e = p[k][at], np.float32(2e-2)
+        p[k][at] = was + e
         up = loss()
-        v[at] = was - e
+        p[k][at] = was - e
         down = loss()
-        v[at] = was
-        assert d[k][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=2e-5), k
-    before = attention.log_probs(p, x, f, y)
-    x[:, 25:] = 1
-    assert np.allclose(attention.log_probs(p, x, f, y)[:, :9], before[:, :9])
+        p[k][at] = was
+        assert d[k][at] == pytest.approx((up - down) / (2 * float(e)), rel=0.08, abs=0.05), k
+    before = attention.log_probs(p, theta, rows)
+    rows[:, 25:] = 1
+    assert np.allclose(attention.log_probs(p, theta, rows)[0, :16], before[0, :16])
 
 
-def test_windows_score_each_token_once():
-    at = np.array([0, 5, 5, 21, 22, 70])
-    x, y, doc, _ = attention.windows(at)
-    assert sorted(y[y >= 0].tolist()) == list(range(70))
-    assert (np.where(y >= 0, y - 1, -1)[y > 0] >= -1).all() and x.shape[1] == 2 * y.shape[1]
-    k, j = np.argwhere(y == 40)[0]
-    assert x[k, j + attention.STRIDE] == 39
+def test_windows_have_each_token_once():
+    sizes = np.array([5, 0, 16, 1, 48, 49])
+    rows, start, doc = attention.padded(np.arange(sizes.sum(), dtype=np.int32), sizes)
+    targets = rows[start][:, attention.BEFORE + 1 :]
+    assert sorted(targets[targets >= 0].tolist()) == list(range(sizes.sum()))
+    before = rows[start][:, attention.BEFORE : -1]
+    first = np.cumsum(sizes) - sizes
+    ok = targets >= 0
+    assert (before[ok] == np.where(np.isin(targets[ok], first), -1, targets[ok] - 1)).all() and (np.diff(doc) >= 0).all()
 
 
 def test_decontamination(docs, items):
@@ -325,17 +506,66 @@ def test_word_pieces_with_unknown_words(seed, tmp_path):
     assert list(zip(t, u)) == [_greedy(w, begin, go_on) for w in words] and (n == 1).all()
 
 
-def test_mixing(spark, docs):
+@pytest.mark.parametrize("seed", range(3))
+def test_long_words_walk_as_others_do(seed, monkeypatch):
+    rng = random.Random(seed)
+    piece = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))).encode()
+    begin, go_on = sorted({piece() for _ in range(9)}), sorted({piece() for _ in range(7)} | ({b"a", b"b", b"c"} if seed else set()))
+    auto = counts.Automaton(begin, go_on)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 60))).encode() for _ in range(80)]
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    together = auto.lengths(buf, start, end), *auto.segments(buf, start, end)
+    monkeypatch.setattr(counts, "LONG", 20)
+    apart = auto.lengths(buf, start, end), *auto.segments(buf, start, end)
+    assert all((a == b).all() for a, b in zip(together, apart))
+    assert (together[0] > 1).any() if seed else (together[0] < 0).any()  # covered words, and words that no pieces cover
+
+
+def _plain_mixture(rows, exponent, seed=0):
+    """rows: doc_id, source, text. For each document its copies and its places in the epochs that read it."""
+    import hashlib
+    from collections import defaultdict
+
+    tokens = defaultdict(lambda: defaultdict(int))
+    for i, s, t in rows:
+        tokens[s][i] += max(len(brute.WORD.findall(t or "")), 1)
+    top = max(sum(d.values()) for d in tokens.values())
+    out = {}
+    for s, d in tokens.items():
+        total = sum(d.values())
+        r = float(np.exp((1.0 - exponent) * (np.log(top) - np.log(total))))
+        places = defaultdict(list)
+        for e in range(int(r) + 1):
+            order = sorted(d, key=lambda i: hashlib.md5(f"{'' if i is None else i}:{e}:{seed}".encode()).hexdigest())
+            read = 0
+            for place, i in enumerate(order):
+                read += d[i]
+                if e < int(r) or read <= int((r - int(r)) * total):
+                    places[i].append(place)
+        out |= {(i, s): (d[i], len(places[i]), places[i]) for i in d}
+    return out
+
+
+@pytest.mark.parametrize("blocks,supers", [(1024, 1024), (5, 2)])
+def test_mixing(docs, monkeypatch, blocks, supers):
+    """Budgets, copies and the place in every epoch's permutation, with one block and with many."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", blocks)
+    monkeypatch.setattr(mixing, "BLOCKS", supers)
+    source = lambda i: "a" if i is not None and i % 9 == 0 else "b" if i is not None and i % 2 == 0 else None
     d = docs.withColumn("source", F.when(F.col("doc_id") % 9 == 0, "a").when(F.col("doc_id") % 2 == 0, "b"))
-    m = mixing.mixed(d).select("doc_id", "source", "_tokens", "_copies").collect()
-    assert len(m) == len(ROWS) and all(1 <= r["_copies"] <= 2 for r in m)
-    total, read = {}, {}
-    for r in m:
-        total[r["source"]] = total.get(r["source"], 0) + r["_tokens"]
-        read[r["source"]] = read.get(r["source"], 0) + r["_tokens"] * r["_copies"]
-    top = max(total.values())
-    assert all(read[s] == t if t == top else read[s] >= t for s, t in total.items())
-    assert mixing.repeated(d).count() == sum(r["_copies"] for r in m)
+    m = mixing.mixed(d, max_repeats=4.0).select("doc_id", "source", "_tokens", "_copies", "_places").collect()
+    rows = [(i, source(i), t) for i, t in ROWS]
+    stats = {}
+    for i, s, t in rows:
+        stats[s] = stats.get(s, 0) + max(len(brute.WORD.findall(t or "")), 1)
+    a = mixing.exponent(d.sparkSession.createDataFrame([(s, n) for s, n in stats.items()], "source string, tokens long"), 0.95, 4.0)
+    want = _plain_mixture(rows, a)
+    assert len(m) == len(ROWS) and {len(r["_places"]) for r in m} - {1}
+    assert all((r["_tokens"], r["_copies"], r["_places"]) == want[r["doc_id"], r["source"]] for r in m)
+    again = mixing.repeated(d, max_repeats=4.0)
+    assert again.columns == d.columns and again.count() == sum(r["_copies"] for r in m)
 
 
 def test_exponent(spark):
@@ -349,11 +579,44 @@ def test_exponent(spark):
 
 
 def test_clashing_columns_stay(docs, items):
-    d = docs.withColumns({c: F.lit(c) for c in CLASH})
-    outs = [quality.apply_policy(d), lines.deduplicated(docs.withColumn("key", F.lit(1)).withColumn("lang", F.lit(1))), neardup.kept(d.drop("doc"))]
-    outs += [decontam.clean(docs.withColumns({"key": F.lit(1), "doc": F.lit(2)}), items), mixing.repeated(docs.withColumns({"source": F.lit("a"), "key": F.lit(1), "tokens": F.lit(2)}))]
+    d = docs.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    outs = [quality.apply_policy(d), lines.deduplicated(d), neardup.kept(d), decontam.clean(d, items), mixing.repeated(d), suffixdedup.deduplicated(d)]
     for out in outs:
-        assert out.columns[:2] == ["doc_id", "text"] and out.count() > 0
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASH)
+    for call in (lambda: decontam.searched(d, items), lambda: lines.line_verdicts(d), lambda: mixing.mixed(d), lambda: suffixdedup.removed(d)):
+        with pytest.raises(ValueError, match="column"):
+            call()
+
+
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from ledgerlake.llm import common
+
+    df = common.written(spark.range(3).toDF("x"), "some")
+    path = df._written_at.removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    kept, common._made[spark.sparkContext.applicationId] = common._made[spark.sparkContext.applicationId], {df._written_at}
+    common.clear(spark)
+    assert not os.path.exists(path) and not common._made[spark.sparkContext.applicationId]
+    common._made[spark.sparkContext.applicationId] = kept - {df._written_at}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from ledgerlake.sources.storage import shared_dir
+
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Session:
+        class sparkContext:
+            master, applicationId, getConf = "spark://host:7077", "x", staticmethod(Conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
 
 
 def test_pipeline(spark, sf):
